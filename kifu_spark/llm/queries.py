@@ -4,12 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kifu_spark.llm import exact_dedup, mixing
+from kifu_spark.llm import exact_dedup, mixing, packing, sharding, simhash
 from kifu_spark.sources.tables import table
 
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(table(spark, sf_dir, "documents"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("shard")
 
@@ -18,6 +34,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 OP8_SQL = f"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
@@ -91,8 +111,11 @@ FROM n WINDOW w AS (PARTITION BY norm ORDER BY doc_id NULLS LAST)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_shard_documents": op2_shard_documents,
+        "op5_simhash": op5_simhash,
         "op8_mix_sources": op8_mix_sources,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_pack_documents": op10_pack_documents,
     }
 
 
