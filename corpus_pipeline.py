@@ -1,24 +1,58 @@
-"""The corpus pipeline: stages over documents, each written and read again as the next one's input."""
+"""The corpus pipeline: language ID, exact dedup, near dedup, mixing and packing of ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and returns rows with the columns of docs, the last one packed pieces. ``run``
+writes nothing itself and chains the stages; a caller may write and reread each stage's rows instead.
+
+Cases hold as each operator states them; further columns pass through untouched, and an empty table stays empty.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kifu_spark.llm.exact_dedup import keep_first_copies
+from kifu_spark.llm import exact_dedup, langid, mixing, packing, simhash
+from kifu_spark.llm.queries import BYTE_BPE, remainder
 
-#: SQL cannot express language models, near-duplicate components and packing; tests hold the rows against brute force.
+#: SQL cannot express the language model, near-duplicate components or packing; tests hold the rows against brute force.
 ORACLE_SQL = None
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row stays of each group of equal texts."""
-    return keep_first_copies(docs)
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is undetermined or a guess go; the model learns from the rows that are not held out."""
+    return langid.keep_known_languages(docs, remainder(5, 0))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the smallest identifier stays."""
+    return exact_dedup.keep_first_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each near-duplicate component the smallest identifier stays."""
+    return simhash.keep_one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens, each with its sequence and offset."""
+    return packing.pack_documents(docs, BYTE_BPE)
 
 
-STAGES = [("exact dedup", exact)]
+STAGES = [
+    ("language ID", identify_language),
+    ("exact dedup", drop_exact_copies),
+    ("SimHash near-dedup", drop_near_copies),
+    ("source mixing", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kifu_spark.llm import exact_dedup, mixing, packing, sharding, simhash
+from kifu_spark.llm import exact_dedup, langid, mixing, packing, sharding, simhash, toxicity
 from kifu_spark.sources.tables import table
 
 
@@ -26,6 +26,20 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def remainder(parts: int, one: int) -> Column:
+    """Whether crc32 of the identifier as text leaves that remainder."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == one, F.lit(False))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score_toxicity(docs, labels, remainder(3, 1))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), remainder(5, 0))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("shard")
 
@@ -113,6 +127,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_shard_documents": op2_shard_documents,
         "op5_simhash": op5_simhash,
+        "op6_toxicity": op6_toxicity,
+        "op7_language": op7_language,
         "op8_mix_sources": op8_mix_sources,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_pack_documents": op10_pack_documents,
