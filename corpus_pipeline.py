@@ -1,7 +1,7 @@
 """The corpus pipeline: language ID, exact dedup, near dedup, mixing and packing of ``documents``.
 
 Each stage takes (spark, docs, sf_dir) and returns rows with the columns of docs, the last one packed pieces. ``run``
-writes nothing itself and chains the stages; a caller may write and reread each stage's rows instead.
+writes each stage's rows as Parquet in the shared checkpoint folder and rereads them for the next.
 
 Cases hold as each operator states them; further columns pass through untouched, and an empty table stays empty.
 """
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kifu_spark.llm import exact_dedup, langid, mixing, packing, simhash
 from kifu_spark.llm.queries import BYTE_BPE, remainder
+from kifu_spark.session import stored
 
 #: SQL cannot express the language model, near-duplicate components or packing; tests hold the rows against brute force.
 ORACLE_SQL = None
@@ -54,6 +55,6 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

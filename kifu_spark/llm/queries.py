@@ -8,13 +8,20 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kifu_spark.llm import exact_dedup, langid, mixing, packing, sharding, simhash, toxicity
+from kifu_spark.llm import exact_dedup, langid, mixing, neighbours, packing, repeats, sharding, simhash, token_counts, toxicity
 from kifu_spark.sources.tables import table
 
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), PIECES)
+
+
 def op2_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return placed.select(
@@ -22,6 +29,14 @@ def op2_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_units(table(spark, sf_dir, "documents"))
+
+
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -123,9 +138,31 @@ FROM n WINDOW w AS (PARTITION BY norm ORDER BY doc_id NULLS LAST)
 """
 
 
+OP3_SQL = rf"""
+WITH u AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '{repeats.UNIT}')) AS piece,
+         unnest(range(len(regexp_extract_all(text, '{repeats.UNIT}')))) AS unit
+  FROM documents),
+placed AS (
+  SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY unit)::BIGINT AS "end",
+         trim(regexp_replace(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm
+  FROM u),
+counted AS (SELECT *, CASE norm WHEN '' THEN 0 ELSE len(string_split(norm, ' ')) END::INTEGER AS words FROM placed),
+ranked AS (
+  SELECT *, count(*) OVER (PARTITION BY norm) AS copies,
+         first_value(doc_id) OVER w AS keep_doc_id, first_value(unit) OVER w AS keep_unit
+  FROM counted WHERE words >= {repeats.LEAST_WORDS} WINDOW w AS (PARTITION BY norm ORDER BY doc_id NULLS LAST, unit))
+SELECT doc_id, unit::INTEGER AS unit, "end" - length(piece) AS start, "end", words, copies, keep_doc_id, keep_unit::INTEGER AS keep_unit
+FROM ranked WHERE copies > 1 AND NOT (doc_id IS NOT DISTINCT FROM keep_doc_id AND unit = keep_unit)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": op1_token_counts,
         "op2_shard_documents": op2_shard_documents,
+        "op3_repeated_passages": op3_repeated_passages,
+        "op4_nearest": op4_nearest,
         "op5_simhash": op5_simhash,
         "op6_toxicity": op6_toxicity,
         "op7_language": op7_language,
@@ -136,4 +173,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mix_sources": OP8_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op3_repeated_passages": OP3_SQL, "op8_mix_sources": OP8_SQL, "op9_exact_dedup": OP9_SQL}
