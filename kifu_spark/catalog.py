@@ -1,31 +1,16 @@
-"""Registered queries of the engine, gathered from the query modules."""
+"""All registered queries of the engine."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from kifu_spark.plans import hygiene, sampling, sequences, statistics  # noqa: F401  they register their queries
+from kifu_spark.registry import ORACLES, QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import Window
+FLAGSHIP = "move_stats"
 
-from kifu_spark.sources.tables import table
 
-FLAGSHIP = "next_annotated_loss"
-
-
-def next_annotated_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return (
-        table(spark, sf_dir, "events")
-        .select("user_id", "value", F.lead("value").over(by_user).alias("after"))
-        .groupBy("user_id")
-        .agg(F.count("after").alias("n"))
-    )
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {FLAGSHIP: next_annotated_loss}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -1 +1 @@
-
+"""Column functions: text properties, classification, coordinates."""
