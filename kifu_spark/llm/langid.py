@@ -28,7 +28,7 @@ ROWS_PER_LANG = 3000
 MOST_WORDS = 100_000
 MOST_GRAMS = 60_000
 LONGEST_GRAM = 4
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 250_000
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
