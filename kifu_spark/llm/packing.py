@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,7 +74,10 @@ class Encoder:
             found = self.tokenizer.encode(text, add_special_tokens=False).ids
         else:
             found = self.fast.encode_ordinary(text)
-        return np.array(found, dtype="<u4").tobytes()
+        packed = array("I", found)  # four bytes each here; turned on big-endian machines
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
 
 
 def encoder(path: str) -> Encoder:

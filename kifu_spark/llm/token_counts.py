@@ -19,6 +19,7 @@ Repeated rows are counted alike.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,7 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_NODES = 400_000
+LONG_WORD = 200
 MARK = "▁"
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: What str.split() takes for white space besides blank and the controls 9 to 13.
+_RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _tries: dict[str, Trie] = {}
 
 
@@ -45,62 +50,81 @@ def zipf_scores(path: str) -> dict[str, float]:
 
 
 class Trie:
-    """Forward scores and piece counts of every inserted prefix."""
+    """Forward scores and piece counts of every inserted prefix; a node is found by its prefix.
+
+    Pre-tokens longer than ``LONG_WORD`` get the same recurrence over a list of their own and leave no nodes.
+    """
 
     def __init__(self, scores: dict[str, float], most_nodes: int = MOST_NODES):
         self.scores, self.most_nodes = scores, most_nodes
-        self.longest = max(map(len, scores), default=1)
         self.byte_score = min(scores.values(), default=-10.0) - 10.0
+        lengths: dict[str, set[int]] = {}
+        for piece in scores:
+            if len(piece) > 1:
+                lengths.setdefault(piece[-2:], set()).add(len(piece))
+        self.ending = {tail: tuple(sorted(found)) for tail, found in lengths.items()}  # piece lengths by last two characters
         self.clear()
 
     def clear(self) -> None:
-        self.children: dict[tuple[int, str], int] = {}
-        self.forward: list[tuple[float, int]] = [(0.0, 0)]  # best score, and minus the pieces of that split
+        self.forward: dict[str, tuple[float, int]] = {"": (0.0, 0)}  # best score, and the pieces of that split
         self.counts: dict[str, int] = {}
 
-    def _best(self, text: str, end: int, path: list[int]) -> tuple[float, int]:
-        """The best (score, -pieces) of text[:end], from those of the shorter prefixes on the path."""
-        size = len(text[end - 1].encode("utf-8", "surrogatepass"))
-        score, less = self.forward[path[end - 1]]
-        best = (score + size * self.byte_score, less - size)
-        for start in range(max(0, end - self.longest), end):
-            own = self.scores.get(text[start:end])
+    def _best(self, text: str, end: int, at) -> tuple[float, int]:
+        """The best (score, pieces) of text[:end]; at gives those of a shorter prefix by its length."""
+        char = text[end - 1]
+        score, pieces = at(end - 1)
+        own = self.scores.get(char)
+        if own is None:
+            size = len(char.encode("utf-8", "surrogatepass"))
+            best, least = score + size * self.byte_score, pieces + size
+        else:
+            best, least = score + own, pieces + 1
+        for n in self.ending.get(text[end - 2 : end], ()):
+            if n > end:
+                break
+            own = self.scores.get(text[end - n : end])
             if own is not None:
-                score, less = self.forward[path[start]]
-                best = max(best, (score + own, less - 1))
-        return best
+                score, pieces = at(end - n)
+                score += own
+                if score > best or (score == best and pieces < least):
+                    best, least = score, pieces + 1
+        return best, least
 
     def insert(self, word: str) -> int:
         """Tokens of one pre-token."""
+        text = MARK + word
+        if len(text) > LONG_WORD:
+            own = [(0.0, 0)]
+            for end in range(1, len(text) + 1):
+                own.append(self._best(text, end, own.__getitem__))
+            return own[-1][1]
         if len(self.forward) > self.most_nodes:
             self.clear()
-        text, path, node = MARK + word, [0], 0
-        for end, char in enumerate(text, 1):
-            key = (node, char)
-            child = self.children.get(key)
-            if child is None:
-                child = self.children[key] = len(self.forward)
-                self.forward.append(self._best(text, end, path))
-            path.append(child)
-            node = child
-        count = self.counts[word] = -self.forward[node][1]
+        forward, known = self.forward, len(text)
+        while text[:known] not in forward:
+            known -= 1
+        for end in range(known + 1, len(text) + 1):
+            forward[text[:end]] = self._best(text, end, lambda n: forward[text[:n]])
+        count = self.counts[word] = forward[text][1]
         return count
 
     def tokens(self, words: list[str]) -> int:
         """Tokens of all pre-tokens of a text."""
-        counts = self.counts
-        try:
-            return sum(map(counts.__getitem__, words))
-        except KeyError:
-            fresh = {w: counts.get(w) for w in dict.fromkeys(words)}
-            fresh |= {w: self.insert(w) for w, n in fresh.items() if n is None}
-            return sum(map(fresh.__getitem__, words))
+        total, known = 0, self.counts.get
+        for word in words:
+            count = known(word)
+            if count is None:
+                count = self.insert(word)
+                known = self.counts.get
+            total += count
+        return total
 
 
 def pre_tokens(text: str | None) -> list[str]:
     """The words of a text, by the white space rule of all operators here."""
-    raw = (text or "").encode("utf-8", "surrogatepass").split()
-    return [w.decode("utf-8", "surrogatepass") for w in raw]
+    if not text:
+        return []
+    return _WORD.findall(text) if _RARE_SPACE.search(text) else text.split()
 
 
 def count_column(text: Column, path: str, most_nodes: int = MOST_NODES) -> Column:
