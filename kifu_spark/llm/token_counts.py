@@ -20,13 +20,14 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_NODES = 400_000
+MOST_NODES = 1_200_000
 LONG_WORD = 200
 MARK = "▁"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -50,9 +51,10 @@ def zipf_scores(path: str) -> dict[str, float]:
 
 
 class Trie:
-    """Forward scores and piece counts of every inserted prefix; a node is found by its prefix.
+    """The trie of inserted pre-tokens: a node for each prefix, with its forward score and the pieces of its best split.
 
-    Pre-tokens longer than ``LONG_WORD`` get the same recurrence over a list of their own and leave no nodes.
+    Nodes are found by their prefix; a pre-token's own node holds its count. Pre-tokens longer than ``LONG_WORD`` get
+    the same recurrence over a list of their own and leave no nodes.
     """
 
     def __init__(self, scores: dict[str, float], most_nodes: int = MOST_NODES):
@@ -66,8 +68,16 @@ class Trie:
         self.clear()
 
     def clear(self) -> None:
-        self.forward: dict[str, tuple[float, int]] = {"": (0.0, 0)}  # best score, and the pieces of that split
-        self.counts: dict[str, int] = {}
+        """Only the node of the mark alone."""
+        self.node: dict[str, int] = {}
+        self.forward, self.pieces = array("d"), array("L")
+        score, pieces = self._best(MARK, 1, lambda n: (0.0, 0))
+        self._add("", score, pieces)
+
+    def _add(self, prefix: str, score: float, pieces: int) -> None:
+        self.node[prefix] = len(self.forward)
+        self.forward.append(score)
+        self.pieces.append(pieces)
 
     def _best(self, text: str, end: int, at) -> tuple[float, int]:
         """The best (score, pieces) of text[:end]; at gives those of a shorter prefix by its length."""
@@ -79,7 +89,7 @@ class Trie:
             best, least = score + size * self.byte_score, pieces + size
         else:
             best, least = score + own, pieces + 1
-        for n in self.ending.get(text[end - 2 : end], ()):
+        for n in self.ending.get(text[end - 2 : end], ()) if end > 1 else ():
             if n > end:
                 break
             own = self.scores.get(text[end - n : end])
@@ -98,25 +108,28 @@ class Trie:
             for end in range(1, len(text) + 1):
                 own.append(self._best(text, end, own.__getitem__))
             return own[-1][1]
-        if len(self.forward) > self.most_nodes:
+        if len(self.node) > self.most_nodes:
             self.clear()
-        forward, known = self.forward, len(text)
-        while text[:known] not in forward:
+        node, forward, pieces, known = self.node, self.forward, self.pieces, len(word)
+        while word[:known] not in node:
             known -= 1
-        for end in range(known + 1, len(text) + 1):
-            forward[text[:end]] = self._best(text, end, lambda n: forward[text[:n]])
-        count = self.counts[word] = forward[text][1]
-        return count
+
+        def at(n: int) -> tuple[float, int]:
+            if not n:
+                return 0.0, 0
+            i = node[word[: n - 1]]
+            return forward[i], pieces[i]
+
+        for end in range(known + 1, len(word) + 1):
+            self._add(word[:end], *self._best(text, end + 1, at))
+        return pieces[node[word]]
 
     def tokens(self, words: list[str]) -> int:
         """Tokens of all pre-tokens of a text."""
-        total, known = 0, self.counts.get
+        total = 0
         for word in words:
-            count = known(word)
-            if count is None:
-                count = self.insert(word)
-                known = self.counts.get
-            total += count
+            i = self.node.get(word)
+            total += self.insert(word) if i is None else self.pieces[i]
         return total
 
 
