@@ -105,11 +105,11 @@ def regions_of(signs: np.ndarray) -> pd.DataFrame:
             root[upper] = np.where(same, np.minimum(least, root[upper]), root[upper])
         if (root == before).all():
             break
-    flat, at = root.reshape(n, -1), np.arange(size * size)
+    flat, at = root.reshape(n, size * size), np.arange(size * size)
     is_root = flat == at
     sizes = np.zeros((n, size * size), dtype=np.int64)
     np.add.at(sizes, (np.arange(n)[:, None], flat), 1)
-    return pd.DataFrame({"regions": is_root.sum(1), "positive": (is_root & signs.reshape(n, -1)).sum(1), "largest": sizes.max(1, initial=0)})
+    return pd.DataFrame({"regions": is_root.sum(1), "positive": (is_root & signs.reshape(n, size * size)).sum(1), "largest": sizes.max(1, initial=0)})
 
 
 @query(

@@ -69,3 +69,10 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def expect_long_texts(spark: SparkSession, rows: int = 1000) -> None:
+    """Keep Arrow batches small where whole texts go through Python, unless the session has a setting of its own."""
+    key, usual = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(key, usual) == usual:
+        spark.conf.set(key, str(rows))
