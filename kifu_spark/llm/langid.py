@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kifu_spark.session import expect_long_texts
+
 ROWS_PER_LANG = 3000
 MOST_WORDS = 100_000
 MOST_GRAMS = 60_000
@@ -126,6 +128,7 @@ def fit(
     most_grams: int = MOST_GRAMS,
 ) -> Model:
     """A model of the rows whose language is known."""
+    expect_long_texts(labelled.sparkSession)
     known = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(
         "lang is not null and text is not null"
     )

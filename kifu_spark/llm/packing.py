@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kifu_spark.session import cut
+from kifu_spark.session import cut, expect_long_texts
 
 CAPACITY = 2048
 END_ID = 0
@@ -154,6 +154,7 @@ def pack_documents(
     group_pieces: int = GROUP_PIECES,
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece."""
+    expect_long_texts(docs.sparkSession)
     pieces = cut(
         docs.select(F.col(id_col).alias("doc_id"), pieces_column(F.col(text_col), tokenizer_path, capacity, end_id).alias("all"))
         .select("doc_id", F.posexplode("all").alias("piece", "one"))

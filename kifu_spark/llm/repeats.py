@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kifu_spark.session import stored
+from kifu_spark.session import expect_long_texts, stored
 
 LEAST_WORDS = 8
 #: Unit pattern; every character of a text is in exactly one unit. Python and RE2 read it alike.
@@ -49,6 +49,7 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
         for texts in batches:
             yield pd.Series([[dict(zip(("unit", "start", "end", "words", "digest"), u)) for u in units_of(t, least_words)] for t in texts])
 
+    expect_long_texts(docs.sparkSession)
     listed = docs.select(F.col(id_col).alias("doc_id"), of(F.col(text_col)).alias("all"))
     return listed.select("doc_id", F.explode("all").alias("one")).select("doc_id", "one.*")
 

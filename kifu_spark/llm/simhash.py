@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from kifu_spark.llm.components import components
-from kifu_spark.session import cut
+from kifu_spark.session import cut, expect_long_texts
 
 BITS = 64
 RADIUS = 2
@@ -119,6 +119,7 @@ def near_duplicates(
     seed: int = SEED,
 ) -> DataFrame:
     """doc_id, fp, fingerprint, component_id (smallest identifier reachable over links) for every row."""
+    expect_long_texts(docs.sparkSession)
     printed = cut(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col), shingle, seed).alias("fp")))
     firsts = cut(printed.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     rooted = components(links(firsts.select("fp"), radius))

@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kifu_spark.session import expect_long_texts
+
 MOST_NODES = 1_200_000
 LONG_WORD = 200
 MARK = "▁"
@@ -157,5 +159,6 @@ def count_column(text: Column, path: str, most_nodes: int = MOST_NODES) -> Colum
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most_nodes: int = MOST_NODES) -> DataFrame:
     """doc_id, pre_tokens, tokens for every row."""
+    expect_long_texts(docs.sparkSession)
     counted = docs.select(F.col(id_col).alias("doc_id"), count_column(F.col(text_col), path, most_nodes).alias("n"))
     return counted.select("doc_id", "n.pre_tokens", "n.tokens")

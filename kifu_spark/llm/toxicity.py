@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kifu_spark.llm.grammar import Composed, Transducer
-from kifu_spark.session import cut
+from kifu_spark.session import cut, expect_long_texts
 
 LABELLED_ROWS = 20_000
 MOST_FEATURES = 50_000
@@ -144,6 +144,7 @@ def fit(
     labelled_rows: int = LABELLED_ROWS, most_features: int = MOST_FEATURES,
 ) -> tuple[list[str], float, float]:
     """(insult prefixes, intercept, slope) from labelled rows."""
+    expect_long_texts(docs.sparkSession)
     marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("y")).filter("y is not null and doc_id is not null")
     total = marked.count()
     parts = 1 << 20
