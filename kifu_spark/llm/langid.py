@@ -143,7 +143,8 @@ def fit(
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
                 n = Counter(word for text in texts for word in words_of(text))
-                yield pd.DataFrame({"lang": lang, "word": [*n.keys()], "n": [*n.values()]})
+                if n:
+                    yield pd.DataFrame({"lang": lang, "word": [*n.keys()], "n": [*n.values()]})
 
     words = sample.select("lang", "text").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = words.persist()

@@ -64,14 +64,17 @@ def sainte_lague(parties: DataFrame, group: list[str], party: list[str], seats:
     """Deal each group's seats to its parties by highest quotients votes / (2 k + 1), none above its ``most`` seats.
 
     parties has the columns of group and party, votes (double) and most (long). Only quotients near the cut are
-    listed: the exact quota lies within votes +- (2 + votes * parties / total votes), and seats below are certain.
+    listed: a party's seats lie within share +- (2 + share * parties / seats), and those below are certain. ``most``
+    may cut a share by its rounding, not by more.
     """
     whole = Window.partitionBy(*group)
+    share = F.col("votes") * F.col("dealt") / F.greatest(F.sum("votes").over(whole), F.lit(1e-9))
     listed = (
         parties.withColumn("dealt", seats)
-        .withColumn("slack", 2 + F.col("votes") * F.count("*").over(whole) / F.greatest(F.sum("votes").over(whole), F.lit(1e-9)))
-        .withColumn("certain", F.least(F.col("most"), F.greatest(F.lit(0), F.floor(F.col("votes") - F.col("slack")))).cast("long"))
-        .withColumn("upto", F.least(F.col("most"), F.ceil(F.col("votes") + F.col("slack"))).cast("long"))
+        .withColumn("share", share)
+        .withColumn("slack", 2 + F.col("share") * F.count("*").over(whole) / F.greatest(F.col("dealt"), F.lit(1)))
+        .withColumn("certain", F.least(F.col("most"), F.greatest(F.lit(0), F.floor(F.col("share") - F.col("slack")))).cast("long"))
+        .withColumn("upto", F.least(F.col("most"), F.ceil(F.col("share") + F.col("slack"))).cast("long"))
         .withColumn("open", F.col("dealt") - F.sum("certain").over(whole))
     )
     by_quotient = whole.orderBy(F.desc("quotient"), *party)

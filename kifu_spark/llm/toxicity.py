@@ -160,7 +160,8 @@ def fit(
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 n = Counter(f for text in batch["text"] for f in prefixes_of(text, only))
-                yield pd.DataFrame({"f": [*n.keys()], "n": [*n.values()]})
+                if n:
+                    yield pd.DataFrame({"f": [*n.keys()], "n": [*n.values()]})
 
         return count
 
