@@ -6,12 +6,12 @@ after a reporting word; the target transducer adds weight where a person is addr
 one weighs what is left. They are composed into one table, and each clause that holds an insult or a threat is scored
 by its path. A document's evidence is the sum over its clauses; words outside such clauses add nothing.
 
-Insults are learned from labelled rows: prefixes of words whose document counts in toxic rows stand out from those
+Insults are a short fixed list and those learned from labelled rows: prefixes of words whose document counts in toxic rows stand out from those
 in others (likelihood ratio and odds), each prefix as long as it stays as frequent. Threat, target, negation and
-reporting words are short fixed lists. A logistic curve over the evidence, fitted on the same rows, gives the score.
+reporting words are fixed lists too. A logistic curve over the evidence, fitted on the same rows, gives the score.
 
 The model is fitted on a bounded sample: about ``labelled_rows`` labelled rows at most, chosen by a hash of the
-identifier, and at most ``most_features`` candidate prefixes. Every whole text is scored.
+identifier, one of each group of copies (else their words would stand out as insults do), and at most ``most_features`` candidate prefixes. Every whole text is scored.
 
 Cases: null and empty texts have no clauses and get the base score. Where no row is toxic, or none is not, the curve
 is flat and low. Repeated rows are scored alike. Labels that are null teach nothing.
@@ -26,6 +26,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,10 @@ SHORTEST, LONGEST = 4, 12
 LEAST_RATIO, LEAST_ODDS = 25.0, 20.0
 THRESHOLD = 0.7
 
+INSULTS = (
+    "idiot moron stupid dumb imbecile loser scum pathetic worthless disgusting trash clown coward "
+    "trottel dummkopf idiota imbécil estúpido tonto imbécile crétin stupide"
+).split()
 THREATS = "kill hurt destroy attack beat töten schlagen verletzen matar golpear herir tuer frapper blesser".split()
 TARGETS = "you your yours yourself they them he she du dich dir ihr euch tú usted ustedes te toi tu vous ils elles".split()
 NEGATIONS = "not never no isn't aren't don't nicht kein keine nie nunca jamás pas jamais".split()
@@ -74,10 +79,10 @@ class Scorer:
     def __init__(self, prefixes: Iterable[str]):
         self.prefixes = set(prefixes)
         self.lengths = sorted({len(p) for p in self.prefixes})
-        self.fixed = {w: s for words, s in ((THREATS, THREAT), (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTING, REPORT)) for w in words}
+        self.fixed = {w: s for words, s in ((INSULTS, INSULT), (THREATS, THREAT), (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTING, REPORT)) for w in words}
         self.grammar = grammar()
         self.kept: dict[str, str] = {}
-        harmful = sorted(self.prefixes) + [w + r"\b" for w in THREATS]
+        harmful = sorted(self.prefixes) + [w + r"\b" for w in INSULTS + THREATS]
         self.harmful = re.compile(r"\b(?:" + "|".join(p if p.endswith(r"\b") else re.escape(p) for p in harmful) + ")")
 
     def symbol(self, word: str) -> str:
@@ -104,6 +109,21 @@ def prefixes_of(text: str | None, only: frozenset[str] | None = None) -> set[str
     return found if only is None else found & only
 
 
+def sketch_of(text: str | None, shingle: int = 3) -> int:
+    """The smallest hash of a text's word shingles; copies and near copies mostly share it."""
+    words = _WORD.findall((text or "").lower())
+    grams = zip(*(words[k:] for k in range(shingle))) if len(words) >= shingle else [words]
+    return min(xxhash.xxh64_intdigest(" ".join(g)) for g in grams) >> 1
+
+
+def sketch_column(text: Column) -> Column:
+    @F.pandas_udf("long")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([sketch_of(t) for t in texts], dtype="int64")
+
+    return of(text)
+
+
 def select_insults(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> list[str]:
     """Prefixes that stand out, without those that a longer one replaces or a shorter one covers."""
 
@@ -150,7 +170,9 @@ def fit(
     parts = 1 << 20
     picked = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < min(parts, parts * labelled_rows // max(1, total)))
     # about labelled_rows rows of two numbers
-    sample = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "doc_id").select("text", "y"))
+    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "doc_id")
+    sketched = read.select("text", "y", sketch_column(F.col("text")).alias("sketch"))
+    sample = cut(sketched.groupBy("sketch", "y").agg(F.min("text").alias("text")).select("text", "y"))
     sizes = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
