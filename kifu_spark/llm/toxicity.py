@@ -8,7 +8,7 @@ by its path. A document's evidence is the sum over its clauses; words outside su
 
 Insults are a short fixed list and those learned from labelled rows: prefixes of words whose document counts in toxic rows stand out from those
 in others (likelihood ratio and odds), each prefix as long as it stays as frequent. Threat, target, negation and
-reporting words are fixed lists too. A logistic curve over the evidence, fitted on the same rows, gives the score.
+reporting words are fixed lists too. A logistic curve over the saturating evidence, fitted on the same rows, gives the score.
 
 The model is fitted on a bounded sample: about ``labelled_rows`` labelled rows at most, chosen by a hash of the
 identifier, one of each group of copies (else their words would stand out as insults do), and at most ``most_features`` candidate prefixes. Every whole text is scored.
@@ -145,8 +145,8 @@ def select_insults(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n
 
 
 def fit_curve(counts: Iterable[tuple[float, int, int]], rounds: int = 50, ridge: float = 0.02) -> tuple[float, float]:
-    """(intercept, slope) of a logistic curve from (evidence, label, count), by Newton steps with a small ridge."""
-    data = np.array([(min(x, 8.0), y, n) for x, y, n in counts], dtype=float).reshape(-1, 3)
+    """(intercept, slope) of a logistic curve over x / (x + 1) from (evidence x, label, count), by ridged Newton steps."""
+    data = np.array([(x / (x + 1), y, n) for x, y, n in counts], dtype=float).reshape(-1, 3)
     both = len(set(data[data[:, 2] > 0, 1])) == 2
     if not both:
         return -4.0, 0.0
@@ -215,7 +215,7 @@ def score_toxicity(
     """doc_id, held_out, score, predicted, evidence for every row; labels of held-out rows are never read."""
     insults, intercept, slope = fit(docs.filter(~held_out), labels.filter(~held_out), id_col, text_col, **how)
     scored = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), evidence_column(F.col(text_col), insults).alias("evidence"))
-    score = 1 / (1 + F.exp(-(F.lit(intercept) + F.lit(slope) * F.least("evidence", F.lit(8.0)))))
+    score = 1 / (1 + F.exp(-(F.lit(intercept) + F.lit(slope) * F.col("evidence") / (F.col("evidence") + 1))))
     return scored.withColumn("score", score).select(
         "doc_id", "held_out", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "evidence"
     )
