@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from kifu_spark.session import expect_long_texts
 
 ROWS_PER_LANG = 3000
-MOST_WORDS = 100_000
-MOST_GRAMS = 60_000
+MOST_WORDS = 60_000
+MOST_GRAMS = 40_000
 LONGEST_GRAM = 4
-WORDS_KEPT = 250_000
+WORDS_KEPT = 180_000
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
