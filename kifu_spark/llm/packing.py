@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,7 @@ from kifu_spark.session import cut, expect_long_texts
 CAPACITY = 2048
 END_ID = 0
 GROUP_PIECES = 8192
+COPIES_KEPT = 20_000
 
 #: Texts with special tokens, controls, rare white space or characters beyond the basic plane are left to the tokenizer
 #: itself; in all others both libraries read the same pre-token pattern alike.
@@ -99,16 +101,21 @@ def pieces_column(text: Column, path: str, capacity: int = CAPACITY, end_id: int
     @F.pandas_udf("array<struct<start:long,length:long,ids_crc32:long>>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode, end = encoder(path), np.array([end_id], dtype="<u4").tobytes()
+        known: dict[bytes, list[dict]] = {}  # pieces by the text's 128-bit digest: copies are encoded once a task
         for texts in batches:
             found = []
             for text in texts:
-                ids = encode.ids(text or "") + end
-                found.append(
-                    [
+                digest = xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass"))
+                if (pieces := known.get(digest)) is None:
+                    ids = encode.ids(text or "") + end
+                    pieces = [
                         {"start": at, "length": n, "ids_crc32": zlib.crc32(ids[4 * at : 4 * (at + n)])}
                         for at, n in piece_bounds(len(ids) // 4, capacity)
                     ]
-                )
+                    if len(known) >= COPIES_KEPT:
+                        known.clear()
+                    known[digest] = pieces
+                found.append(pieces)
             yield pd.Series(found)
 
     return of(text)
