@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+import zlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -98,3 +104,39 @@ def played_moves(games: DataFrame) -> DataFrame:
 
     empty = F.array().cast("array<struct<color:string,vertex:string>>")
     return steps.select("file", "game", F.aggregate("steps", empty, apply).alias("moves"))
+
+
+def read_archives(spark: SparkSession, root: str, suffix: str = ".sgf") -> DataFrame:
+    """path, name, text of every record inside the zip archives below a folder; an archive that cannot be read has one row with ``error``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(root)
+
+    def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                        names = [n for n in sorted(archive.namelist()) if n.lower().endswith(suffix)]
+                        for n in names:  # one frame a record: an archive is never held unpacked as a whole
+                            yield pd.DataFrame({"path": [path], "name": [n], "text": [archive.read(n).decode("latin-1")], "error": [None]})
+                except (zipfile.BadZipFile, zlib.error, OSError) as error:
+                    yield pd.DataFrame({"path": [path], "name": [None], "text": [None], "error": [str(error)]})
+
+    return files.select("path", "content").mapInPandas(unpacked, "path string, name string, text string, error string")
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """One row a game of match documents: JSON files with an array of games; a file without one has no rows."""
+    schema = (
+        "games array<struct<game_index:int,black_model:string,white_model:string,moves_played:int,ended_naturally:boolean,"
+        "score:double,winner_color:string,winner_model:string,sgf_file:string>>"
+    )
+    documents = spark.read.schema(schema).option("multiLine", True).json(path)
+    return documents.select(F.input_file_name().alias("file"), F.explode("games").alias("game")).select("file", "game.*")
+
+
+def decided(results: DataFrame, leads: DataFrame) -> DataFrame:
+    """Results with winners by a judge's lead (positive for Black), and whether that differs from the one stated."""
+    judged = results.join(leads, "sgf_file", "left")
+    color = F.when(F.col("lead") > 0, "B").when(F.col("lead").isNotNull(), "W")
+    model = F.when(color == "B", F.col("black_model")).when(color == "W", F.col("white_model"))
+    return judged.withColumns({"judged_color": color, "judged_model": model, "flipped": color != F.col("winner_color")})
