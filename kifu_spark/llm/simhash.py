@@ -118,28 +118,36 @@ def near_duplicates(
     shingle: int = SHINGLE,
     seed: int = SEED,
 ) -> DataFrame:
-    """doc_id, fp, fingerprint, component_id (smallest identifier reachable over links) for every row."""
+    """doc_id, fp, fingerprint, component_id (smallest identifier reachable over links), group_fp (its smallest print) for every row."""
     expect_long_texts(docs.sparkSession)
     printed = cut(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col), shingle, seed).alias("fp")))
     firsts = cut(printed.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     rooted = components(links(firsts.select("fp"), radius))
     linked = firsts.join(rooted, F.col("fp") == F.col("node"))
     least = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    named = linked.join(least, "root").select(F.col("fp").alias("linked_fp"), "least_id")
+    named = linked.join(least, "root").select(F.col("fp").alias("linked_fp"), "least_id", "root")
     by_print = firsts.join(named, F.col("fp") == F.col("linked_fp"), "left").select(
-        "fp", F.coalesce("least_id", "first_id").alias("component_id")
+        "fp", F.coalesce("least_id", "first_id").alias("component_id"), F.coalesce("root", "fp").alias("group_fp")
     )
     return printed.join(by_print, "fp").select(
         "doc_id",
         "fp",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
+        "group_fp",
     )
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs whose identifier is their component's smallest; of rows that share it, one stays."""
-    kept = near_duplicates(docs, id_col, text_col, **how).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = kept.select(F.col("doc_id").alias("__kept_id")).distinct()
-    stay = docs.join(ids, F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi")
-    return stay.dropDuplicates([id_col])
+    """The rows of docs that stay, one of each component: the row of its smallest identifier.
+
+    Rows that share an identifier are one document. A component whose rows all lack one keeps a row of its smallest
+    fingerprint.
+    """
+    found = near_duplicates(docs, id_col, text_col, **how)
+    ids = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
+    named = docs.join(ids, F.col(id_col) == F.col("__kept_id"), "left_semi").dropDuplicates([id_col])
+    prints = found.filter("component_id is null and fp = group_fp").select(F.col("fp").alias("__kept_fp")).distinct()
+    bare = docs.filter(F.col(id_col).isNull()).withColumn("__fp", fingerprint_column(F.col(text_col), how.get("shingle", SHINGLE), how.get("seed", SEED)))
+    bare = bare.join(prints, F.col("__fp") == F.col("__kept_fp"), "left_semi").dropDuplicates(["__fp"]).drop("__fp")
+    return named.unionByName(bare)

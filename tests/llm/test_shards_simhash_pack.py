@@ -125,6 +125,9 @@ def test_near_duplicates_cases(odd):
     kept = simhash.keep_one_of_each(odd)
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == sorted({r.component_id for r in rows})
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
+    bare = odd.withColumn("doc_id", F.lit(None).cast("long"))
+    groups = {r.group_fp for r in simhash.near_duplicates(bare).collect()}
+    assert simhash.keep_one_of_each(bare).count() == len(groups) > 3
 
 
 def test_components_of_a_path_and_a_star(spark):
