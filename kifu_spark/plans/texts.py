@@ -85,7 +85,7 @@ def set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
     b = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
     counted = lambda name, df: df.agg(F.lit(name).alias("op"), F.count("*").alias("n"))
-    parts = [counted("union", a.union(b).distinct()), counted("union_all", a.union(b)), counted("intersect", a.intersect(b)), counted("except", a.exceptAll(b).distinct())]
+    parts = [counted("union", a.union(b).distinct()), counted("union_all", a.union(b)), counted("intersect", a.intersect(b)), counted("except", a.subtract(b))]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
