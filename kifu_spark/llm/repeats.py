@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from kifu_spark.session import expect_long_texts, stored
 
-LEAST_WORDS = 8
+LEAST_WORDS = 5
 #: Unit pattern; every character of a text is in exactly one unit. Python and RE2 read it alike.
 UNIT = r"[^\n.!?]*[\n.!?]+|[^\n.!?]+"
 _UNIT = re.compile(UNIT)
