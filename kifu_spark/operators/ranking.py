@@ -12,6 +12,13 @@ from pyspark.sql import functions as F
 SLICE_DIGITS = 3
 
 
+def join_on_equal(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys where two nulls are equal; the keys stay once."""
+    other = right.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    return left.join(other, same).drop(*[f"__r_{k}" for k in keys])
+
+
 def seeded_key(seed: int, *parts: Column) -> Column:
     """A hex digest of the seed and the parts that any engine with MD5 can repeat; null parts count as empty."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
@@ -32,7 +39,7 @@ def running_before(
     # at most 16 ** digits rows for each group
     inside = Window.partitionBy(*groups, "__slice").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        sliced.join(F.broadcast(totals), [*groups, "__slice"])
+        join_on_equal(sliced, F.broadcast(totals), [*groups, "__slice"])
         .withColumn(out, F.col("__first") + F.sum("__amount").over(inside) - F.col("__amount"))
         .drop("__slice", "__amount", "__first")
     )
@@ -43,11 +50,25 @@ def rank_before(df: DataFrame, key: str, out: str, groups: list[str] = [], ties:
     return running_before(df, key, F.lit(1).cast("long"), out, groups, ties=ties)
 
 
-def value_counts(df: DataFrame, groups: list[str], value: str) -> DataFrame:
-    """groups, value, n, upto (rows at or below the value) and total: the base of every exact percentile."""
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("n"))
-    whole = Window.partitionBy(*groups)
-    return counted.withColumn("upto", F.sum("n").over(whole.orderBy(value))).withColumn("total", F.sum("n").over(whole))
+def value_counts(df: DataFrame, groups: list[str], value: str, slices: int = 256) -> DataFrame:
+    """groups, value, n, upto (rows at or below the value) and total: the base of every exact percentile.
+
+    A group's range of values is cut into equal slices; running totals over the slices, at most ``slices`` rows a
+    group, and a window inside each slice give the ranks, so that no window holds all values of a large group.
+    """
+    keys = [*groups, "__all"]
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("n")).withColumn("__all", F.lit(0))
+    spans = counted.groupBy(*keys).agg(F.min(value).alias("__low"), F.max(value).alias("__high"), F.sum("n").alias("total"))
+    part = (F.col(value) - F.col("__low")) / F.nullif(F.col("__high") - F.col("__low"), F.lit(0)) * slices
+    sliced = join_on_equal(counted, spans, keys).withColumn("__slice", F.least(F.coalesce(F.floor(part), F.lit(0)), F.lit(slices - 1)))
+    before = (
+        sliced.groupBy(*keys, "__slice")
+        .agg(F.sum("n").alias("__here"))
+        .withColumn("__first", F.sum("__here").over(Window.partitionBy(*keys).orderBy("__slice")) - F.col("__here"))
+    )
+    inside = F.sum("n").over(Window.partitionBy(*keys, "__slice").orderBy(value))
+    placed = join_on_equal(sliced, before, [*keys, "__slice"]).withColumn("upto", F.col("__first") + inside)
+    return placed.select(*groups, value, "n", "upto", "total")
 
 
 def at_index(value: str, index: Column) -> Column:

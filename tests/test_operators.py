@@ -95,3 +95,11 @@ def test_regions():
     row = regions_of(board).iloc[0]
     assert (row.regions, row.positive, row.largest) == (3, 2, 5)
     assert len(regions_of(np.zeros((0, 3, 3), dtype=bool))) == 0
+
+
+def test_ranks_keep_null_groups(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0), (None, 3.0)], "g string, v double")
+    rows = {(r.g, r.v): (r.n, r.upto, r.total) for r in ranking.value_counts(df, ["g"], "v").collect()}
+    assert rows == {(None, 1.0): (1, 1, 3), (None, 3.0): (2, 3, 3), ("a", 2.0): (1, 1, 1)}
+    keyed = df.withColumn("key", ranking.seeded_key(1, F.col("v")))
+    assert sorted(r.pos for r in ranking.rank_before(keyed, "key", "pos", ["g"]).filter("g is null").collect()) == [0, 1, 2]
