@@ -36,10 +36,10 @@ def running_before(
         .withColumn("__first", F.sum("__total").over(by_group) - F.col("__total"))
         .drop("__total")
     )
-    # at most 16 ** digits rows for each group
+    # at most 16 ** digits rows for each group; broadcast where there is one group
     inside = Window.partitionBy(*groups, "__slice").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        join_on_equal(sliced, F.broadcast(totals), [*groups, "__slice"])
+        join_on_equal(sliced, totals if groups else F.broadcast(totals), [*groups, "__slice"])
         .withColumn(out, F.col("__first") + F.sum("__amount").over(inside) - F.col("__amount"))
         .drop("__slice", "__amount", "__first")
     )
