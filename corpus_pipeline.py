@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kifu_spark.llm import exact_dedup, langid, mixing, packing, simhash
 from kifu_spark.llm.queries import BYTE_BPE, remainder
-from kifu_spark.session import stored
+from kifu_spark.session import ship_package, stored
 
 #: SQL cannot express the language model, near-duplicate components or packing; tests hold the rows against brute force.
 ORACLE_SQL = None
@@ -20,6 +20,7 @@ ORACLE_SQL = None
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is undetermined or a guess go; the model learns from the rows that are not held out."""
+    ship_package(spark)
     return langid.keep_known_languages(docs, remainder(5, 0))
 
 
@@ -30,6 +31,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate component the smallest identifier stays."""
+    ship_package(spark)
     return simhash.keep_one_of_each(docs)
 
 
@@ -40,6 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens, each with its sequence and offset."""
+    ship_package(spark)
     return packing.pack_documents(docs, BYTE_BPE)
 
 
