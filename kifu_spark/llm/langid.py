@@ -51,7 +51,8 @@ class Model:
 
     def __init__(self, langs: Iterable[str], words: Iterable[tuple], grams: Iterable[tuple], longest: int = LONGEST_GRAM):
         self.langs, self.longest = sorted(set(langs)), longest
-        self.words, self.grams = self._evidence(words), self._evidence(grams)
+        self.words, (rows, table) = self._evidence(words), self._evidence(grams)
+        self.grams = rows, np.vstack([table, np.zeros((1, len(self.langs)))])
 
     def _evidence(self, counts: Iterable[tuple]) -> tuple[dict[str, int], np.ndarray]:
         """Key to row, and each row's log share by language, from (lang, key, n)."""
@@ -67,17 +68,23 @@ class Model:
         top = logs.max(axis=1, keepdims=True)
         return rows, logs - top - np.log(np.exp(logs - top).sum(axis=1, keepdims=True))
 
-    def backoff(self, word: str) -> np.ndarray:
-        """Evidence of an unseen word: the mean over positions of the longest known n-gram."""
+    def backoff(self, words: list[str]) -> np.ndarray:
+        """Evidence of unseen words: of each, the mean over its positions of the longest known n-gram."""
         rows, table = self.grams
-        marked, found = f"<{word}>", []
-        for at in range(len(marked)):
-            for n in range(min(self.longest, len(marked) - at), 0, -1):
-                row = rows.get(marked[at : at + n])
-                if row is not None:
-                    found.append(row)
-                    break
-        return table[found].mean(axis=0) if found else np.zeros(len(self.langs))
+        known, found, starts = rows.get, [], []
+        for word in words:
+            marked, before = f"<{word}>", len(found)
+            starts.append(before)
+            for at in range(len(marked)):
+                for n in range(min(self.longest, len(marked) - at), 0, -1):
+                    row = known(marked[at : at + n])
+                    if row is not None:
+                        found.append(row)
+                        break
+            if len(found) == before:
+                found.append(len(rows))  # nothing is known: the last line of the table, without evidence
+        lengths = np.diff([*starts, len(found)])
+        return np.add.reduceat(table[found], starts, axis=0) / lengths[:, None]
 
 
 class Scorer:
@@ -95,14 +102,13 @@ class Scorer:
     def _learn(self, words: list[str]) -> None:
         if self.used > self.kept:
             self._reset()
-        for word in dict.fromkeys(words):
-            if word in self.rows:
-                continue
-            if self.used == len(self.table):
-                self.table = np.vstack([self.table, np.zeros_like(self.table)])
-            self.table[self.used] = self.model.backoff(word)
-            self.rows[word] = self.used
-            self.used += 1
+        fresh = [word for word in dict.fromkeys(words) if word not in self.rows]
+        last = self.used + len(fresh)
+        while last > len(self.table):
+            self.table = np.vstack([self.table, np.zeros_like(self.table)])
+        self.table[self.used : last] = self.model.backoff(fresh)
+        self.rows.update(zip(fresh, range(self.used, last)))
+        self.used = last
 
     def score(self, text: str | None) -> tuple[str, float]:
         words = words_of(text)
