@@ -122,9 +122,11 @@ PAIRS_SQL = """SELECT w.n_name AS winner, l.n_name AS loser FROM lineitem
   WHERE w.n_regionkey = 0 AND l.n_regionkey = 0 AND w.n_name <> l.n_name"""
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A game for each line item: the supplier's nation wins against the customer's, within one region."""
-    nation = table(spark, sf_dir, "nation").filter("n_regionkey = 0")
+def _pairs(spark: SparkSession, sf_dir: str, region: int | None = None) -> DataFrame:
+    """A game for each line item: the supplier's nation wins against the customer's, both of one region if it is given."""
+    nation = table(spark, sf_dir, "nation")
+    if region is not None:
+        nation = nation.filter(F.col("n_regionkey") == region)
     winner = nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("winner"))
     loser = nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("loser"))
     suppliers = table(spark, sf_dir, "supplier").join(F.broadcast(winner), "s_nationkey").select("s_suppkey", "winner")
@@ -136,7 +138,8 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT winner, loser, count(*) AS wins FROM ({PAIRS_SQL}) GROUP BY ALL")
 def pair_tally_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pair_tally(_pairs(spark, sf_dir), "winner", "loser")
+    """Wins between the nations of region 0, the games of the SQL."""
+    return pair_tally(_pairs(spark, sf_dir, region=0), "winner", "loser")
 
 
 @query(
@@ -145,8 +148,8 @@ def pair_tally_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT model, won, lost, round(100.0 * won / (won + lost), 6) AS percent FROM s"""
 )
 def crosstab_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row totals of the pair table with percent won."""
-    tally = pair_tally(_pairs(spark, sf_dir), "winner", "loser")
+    """Row totals of the pair table of region 0 with percent won."""
+    tally = pair_tally(_pairs(spark, sf_dir, region=0), "winner", "loser")
     sides = tally.select(F.col("winner").alias("model"), F.col("wins").alias("won"), F.lit(0).alias("lost")).union(
         tally.select(F.col("loser").alias("model"), F.lit(0).alias("won"), F.col("wins").alias("lost"))
     )
@@ -168,7 +171,7 @@ def crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ratings_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bradley-Terry ratings from the pair tally."""
+    """Bradley-Terry ratings from the pair tally of all nations."""
     return ratings(spark, pair_tally(_pairs(spark, sf_dir), "winner", "loser"))
 
 

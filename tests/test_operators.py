@@ -21,6 +21,18 @@ def test_sweep_is_finite():
     assert fit_ratings([]) == {}
 
 
+def test_ratings_fit_rates_every_nation_that_played(spark, sf_dir):
+    from kifu_spark.plans.statistics import ratings_fit
+    from tests.oracle import duck_rows
+
+    games = """FROM lineitem JOIN supplier s ON s_suppkey = l_suppkey JOIN nation w ON w.n_nationkey = s_nationkey
+      JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation l ON l.n_nationkey = c_nationkey WHERE w.n_name <> l.n_name"""
+    tally = duck_rows(f"SELECT w.n_name AS a, l.n_name AS b, count(*) AS c {games} GROUP BY ALL", sf_dir)[1]
+    expected = fit_ratings([(a, b, float(n)) for a, b, n in tally])
+    found = {r.model: r.rating for r in ratings_fit(spark, sf_dir).collect()}
+    assert found == pytest.approx(expected) and len(found) > 5
+
+
 def test_percentile_definitions_differ(spark):
     df = spark.createDataFrame([(float(v),) for v in (1, 2, 3, 4, 10)], "v double")
     counts = ranking.value_counts(df, [], "v")
