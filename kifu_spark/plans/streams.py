@@ -11,8 +11,8 @@ from kifu_spark.streaming import events as stream
 
 @query("SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS began, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def stream_tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily counts by kind over a stream with a watermark; updates replace earlier counts of a window."""
-    counts = stream.tumbling_counts(stream.stream_table(spark, sf_dir, "events"), "1 day", "31 days")
+    """Daily counts by kind over a stream; updates replace earlier counts of a window."""
+    counts = stream.tumbling_counts(stream.stream_table(spark, sf_dir, "events"), "1 day")
     return stream.run_to_end(counts, "update", ["event_type", "began"]).withColumn("began", F.col("began").cast("timestamp_ntz"))
 
 
@@ -21,9 +21,9 @@ def stream_tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT user_id, session::BIGINT AS session, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM s GROUP BY ALL"""
 )
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Marker sessions kept as state."""
-    sessions = stream.marker_sessions(stream.stream_table(spark, sf_dir, "events"))
-    return stream.run_to_end(sessions, "update", ["user_id", "session"])
+    """Marker sessions of what a stream has taken in."""
+    rows = stream.stream_table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts")
+    return stream.marker_sessions(stream.run_to_end(rows))
 
 
 @query("SELECT event_id, user_id, event_type FROM events")

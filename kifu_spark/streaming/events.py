@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from kifu_spark.operators.ordered import in_order, session_number
 from kifu_spark.session import checkpoint_dir
 from kifu_spark.sources.tables import table
 
@@ -43,38 +41,31 @@ def run_to_end(stream: DataFrame, mode: str = "append", key: list[str] | None =
     return out.select(*stream.columns)
 
 
-def tumbling_counts(events: DataFrame, length: str, late: str) -> DataFrame:
-    """event_type, began, n, total by tumbling window; rows later than the watermark are dropped."""
-    counted = events.withWatermark("ts", late).groupBy(F.window("ts", length), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
-    return counted.select("event_type", F.col("window.start").alias("began"), "n", "total")
-
+def tumbling_counts(events: DataFrame, length: str, late: str | None = None) -> DataFrame:
+    """event_type, began, n, total by tumbling window; with a watermark, rows later than it are dropped.
 
-SESSION = "user_id long, session long, n long, errors long"
+    Without one every window stays as state: one row for each kind and window, in whatever order files come.
+    """
+    timed = events.withWatermark("ts", late) if late else events
+    counted = timed.groupBy(F.window("ts", length), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+    return counted.select("event_type", F.col("window.start").alias("began"), "n", "total")
 
 
 def marker_sessions(events: DataFrame, marker: str = "signup") -> DataFrame:
-    """Sessions from one marker to the next, with the open session of each user as state.
+    """user_id, session, n, errors: sessions from one marker to the next, over all rows that a stream has taken in.
 
-    Rows of a user are put in order within a micro-batch; across batches they are taken as they come.
+    A late row may split a session or move a marker, so rows are numbered in the order of their times once they are
+    stored, not as they come.
     """
+    number = session_number(F.col("event_type") == marker, in_order(["user_id"], ["ts", "event_id"]))
+    return events.withColumn("session", number).groupBy("user_id", "session").agg(
+        F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors")
+    )
 
-    def count(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        session, n, errors = state.get if state.exists else (0, 0, 0)
-        out = []
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for kind in rows["event_type"]:
-            if kind == marker:
-                if n:
-                    out.append((key[0], session, n, errors))
-                session, n, errors = session + 1, 0, 0
-            n, errors = n + 1, errors + (kind == "error")
-        out.append((key[0], session, n, errors))
-        state.update((session, n, errors))
-        yield pd.DataFrame(out, columns=["user_id", "session", "n", "errors"])
-
-    return events.groupBy("user_id").applyInPandasWithState(count, SESSION, "session long, n long, errors long", "update", GroupStateTimeout.NoTimeout)
-
-
-def first_seen(rows: DataFrame, key: str, late: str = "30 days") -> DataFrame:
-    """Rows whose key has not been seen within the watermark: incremental ingest that repeats nothing."""
-    return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+
+def first_seen(rows: DataFrame, key: str, late: str | None = None) -> DataFrame:
+    """Rows whose key has not been seen, or not within the watermark if there is one: incremental ingest that repeats nothing.
+
+    Without a watermark every key stays as state.
+    """
+    return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]) if late else rows.dropDuplicates([key])
