@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kifu_spark.session import stored
+
 SLICE_DIGITS = 3
 
 
@@ -50,6 +52,21 @@ def rank_before(df: DataFrame, key: str, out: str, groups: list[str] = [], ties:
     return running_before(df, key, F.lit(1).cast("long"), out, groups, ties=ties)
 
 
+def range_parts(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """df stored in ranges of its whole order, with the number of each row's range; only equal rows share one for sure."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(df.repartitionByRange(parts, *order).withColumn(out, F.spark_partition_id()))
+
+
+def rank_in_order(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """df with each row's place, from 1, in a total order of the whole table."""
+    parted = range_parts(df, order, "__part")
+    whole = Window.orderBy("__part")  # one row for each range
+    before = parted.groupBy("__part").agg(F.count("*").alias("__here")).select("__part", (F.sum("__here").over(whole) - F.col("__here")).alias("__first"))
+    nth = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return parted.join(F.broadcast(before), "__part").withColumn(out, F.col("__first") + nth).drop("__part", "__first")
+
+
 def value_counts(df: DataFrame, groups: list[str], value: str, slices: int = 256) -> DataFrame:
     """groups, value, n, upto (rows at or below the value) and total: the base of every exact percentile.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kifu_spark.functions.classify import all_that_apply, binned, first_that_applies
 from kifu_spark.operators.dedup import keep_first, walk_key
-from kifu_spark.operators.ranking import top_by_group
+from kifu_spark.operators.ranking import rank_in_order, top_by_group
 from kifu_spark.registry import query
 from kifu_spark.sources.tables import table
 
@@ -156,11 +156,7 @@ def walk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths in the order of a directory walk: a folder's files come before its folders."""
     parts = F.split(F.regexp_replace("url", "^[a-z]+://", ""), "/")
     keyed = table(spark, sf_dir, "pages").select("page_id", F.size(parts).alias("depth"), walk_key(parts).alias("walk"))
-    # ranks come from a range-partitioned sort: counts below each first part, then a window inside it
-    head = keyed.withColumn("head", F.substring("walk", 1, 4))
-    before = head.groupBy("head").count().withColumn("first", F.sum("count").over(Window.orderBy("head")) - F.col("count")).drop("count")
-    nth = F.row_number().over(Window.partitionBy("head").orderBy("walk", "page_id"))
-    return head.join(F.broadcast(before), "head").select("page_id", "depth", (F.col("first") + nth).alias("place"))
+    return rank_in_order(keyed, ["walk", "page_id"], "place").select("page_id", "depth", "place")
 
 
 @query(
