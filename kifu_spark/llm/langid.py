@@ -7,7 +7,8 @@ over its words, and the answer is the most likely language with its share of the
 
 The model is fitted on a bounded sample of labelled rows: at most about ``rows_per_lang`` for each language, chosen by
 a hash of the identifier. It keeps the ``most_words`` most frequent (language, word) counts and ``most_grams``
-n-gram counts, so its size, which each worker gets, is bounded by these parameters. Every whole text is scored.
+n-gram counts, and besides the ``least_each`` most frequent of each language, so that no language loses its words as
+others grow. Its size, which each worker gets, is bounded by these parameters. Every whole text is scored.
 
 Cases: a null text or one without a letter is ``und`` with score 0, as is every text where no row teaches a language.
 Labels that are null teach nothing. Repeated rows are scored alike; ties go to the language first in code point order.
@@ -21,7 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kifu_spark.session import expect_long_texts
@@ -29,6 +30,7 @@ from kifu_spark.session import expect_long_texts
 ROWS_PER_LANG = 3000
 MOST_WORDS = 60_000
 MOST_GRAMS = 40_000
+LEAST_EACH = 10_000
 LONGEST_GRAM = 4
 WORDS_KEPT = 180_000
 UNDETERMINED = "und"
@@ -124,6 +126,15 @@ class Scorer:
         return self.model.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
+def _most_frequent(counts: DataFrame, key: str, most: int, least_each: int) -> list:
+    """Rows lang, key, n: the most frequent of all, and the most frequent of each language."""
+    order = [F.desc("n"), F.col(key)]
+    of_all = counts.orderBy(F.desc("n"), "lang", key).limit(most).select("lang", key, "n")
+    of_each = counts.select("lang", key, "n", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).alias("nth"))
+    both = of_all.union(of_each.filter(F.col("nth") <= least_each).drop("nth")).distinct()
+    return both.orderBy(F.desc("n"), "lang", key).collect()
+
+
 def fit(
     labelled: DataFrame,
     id_col: str = "doc_id",
@@ -132,6 +143,7 @@ def fit(
     rows_per_lang: int = ROWS_PER_LANG,
     most_words: int = MOST_WORDS,
     most_grams: int = MOST_GRAMS,
+    least_each: int = LEAST_EACH,
 ) -> Model:
     """A model of the rows whose language is known."""
     expect_long_texts(labelled.sparkSession)
@@ -167,15 +179,17 @@ def fit(
         )
     )
     gram_counts = words.select("lang", "n", F.explode(grams).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top_words = words.orderBy(F.desc("n"), "lang", "word").limit(most_words).collect()
-    top_grams = gram_counts.orderBy(F.desc("n"), "lang", "gram").limit(most_grams).collect()
+    gram_counts = gram_counts.persist()
+    top_words = _most_frequent(words, "word", most_words, least_each)
+    top_grams = _most_frequent(gram_counts, "gram", most_grams, least_each)
+    gram_counts.unpersist()
     words.unpersist()
     return Model([lang for lang, _ in per_lang], ((r.lang, r.word, r.n) for r in top_words), ((r.lang, r.gram, r.n) for r in top_grams))
 
 
 def language_column(text: Column, model: Model, df: DataFrame) -> Column:
     """struct<lang_pred, score> of each text."""
-    sent = df.sparkSession.sparkContext.broadcast(model)  # bounded by most_words and most_grams
+    sent = df.sparkSession.sparkContext.broadcast(model)  # bounded by most_words, most_grams and least_each
 
     @F.pandas_udf("lang_pred string, score double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
