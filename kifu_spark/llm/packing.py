@@ -6,10 +6,13 @@ one task by the sum-of-squares rule: a piece goes where the sum over residual ga
 becomes smallest, a new sequence being one of the places. Pieces come largest first. The open sequences are only counts
 per gap, so a group's state is one array of sequence length, and a group wastes at most a few open sequences at its end.
 
-Only piece lengths and checksums are shuffled, never texts.
+Only piece lengths and checksums are shuffled, never texts. Identifiers stay in Arrow columns, so that 64-bit ones
+beside nulls keep every digit.
 
-Cases: a null text is empty, and an empty text is the end token alone. Repeated rows are packed once each. An empty
-table gives an empty result.
+Cases: a null text is empty, and an empty text is the end token alone. Repeated rows are packed once each, and spread
+over groups by their place in the table, as are rows without an identifier. A text of any length is encoded whole, in
+one call; runs of white space over ``LONGEST_RUN`` go to the tokenizer itself. Further columns never matter, whatever
+their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,12 +38,15 @@ CAPACITY = 2048
 END_ID = 0
 GROUP_PIECES = 8192
 COPIES_KEPT = 20_000
+#: Longer runs of white space exhaust the stack of the fast encoder's pattern matcher.
+LONGEST_RUN = 10_000
 
 #: Texts with special tokens, controls, rare white space or characters beyond the basic plane are left to the tokenizer
 #: itself; in all others both libraries read the same pre-token pattern alike.
 _UNUSUAL = re.compile(
     "[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff\U00010000-\U0010ffff]"
 )
+_LONG_RUN = re.compile(rf"\s{{{LONGEST_RUN}}}")
 _PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _encoders: dict[str, Encoder] = {}
 
@@ -54,7 +62,8 @@ class Encoder:
     """Token ids of a text as little-endian 32-bit bytes, for a byte-level BPE file of the tokenizers library.
 
     The file's vocabulary also drives tiktoken, which merges the same pairs in the same order about three times as
-    fast; that needs the ids to follow the merge order, and is checked when the file is read.
+    fast. That needs ids in merge order, no normaliser, no prefix blank and the usual byte-level pre-token pattern,
+    all checked when the file is read; any other file is left to the tokenizers library.
     """
 
     def __init__(self, path: str) -> None:
@@ -62,17 +71,20 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        model = json.loads(self.tokenizer.to_str())["model"]
+        file = json.loads(self.tokenizer.to_str())
+        model, before = file["model"], file["pre_tokenizer"] or {}
+        usual = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before["add_prefix_space"]
         byte_of, vocab = _byte_of_char(), model["vocab"]
         merged = [vocab["".join(pair if isinstance(pair, list) else pair.split(" "))] for pair in model["merges"]]
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.fast = None
-        if merged == sorted(merged):
+        if merged == sorted(merged) and usual and not file["normalizer"] and not model.get("ignore_merges"):
             ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in self.special}
             self.fast = tiktoken.Encoding("byte-level", pat_str=_PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> bytes:
-        if self.fast is None or _UNUSUAL.search(text) or any(token in text for token in self.special):
+        long_run = len(text) >= LONGEST_RUN and _LONG_RUN.search(text)
+        if self.fast is None or long_run or _UNUSUAL.search(text) or any(token in text for token in self.special):
             found = self.tokenizer.encode(text, add_special_tokens=False).ids
         else:
             found = self.fast.encode_ordinary(text)
@@ -168,13 +180,15 @@ def pack_documents(
         .select("doc_id", "piece", "one.*")
     )
     groups = max(1, round(pieces.count() / group_pieces))
-    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    place = F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())
+    dealt = pieces.withColumn("pack_group", F.pmod(place, F.lit(groups)))
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+    def pack(group: pa.Table) -> pa.Table:
+        order = [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]
+        group = group.take(pc.sort_indices(group, order))
         number, offset = sum_of_squares(group["length"].to_numpy(), capacity)
         number += group["pack_group"].to_numpy() << 32
-        return group.drop(columns="pack_group").assign(sequence_id=number, offset=offset)
+        return group.drop_columns("pack_group").append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offset))
 
     schema = f"doc_id {dict(pieces.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return dealt.groupBy("pack_group").applyInPandas(pack, schema)
+    return dealt.groupBy("pack_group").applyInArrow(pack, schema)
