@@ -139,21 +139,22 @@ FROM n WINDOW w AS (PARTITION BY norm ORDER BY doc_id NULLS LAST)
 
 
 OP3_SQL = rf"""
-WITH u AS (
-  SELECT doc_id, unnest(regexp_extract_all(text, '{repeats.UNIT}')) AS piece,
+WITH d AS (SELECT doc_id, text, row_number() OVER () AS r FROM documents),
+u AS (
+  SELECT doc_id, r, unnest(regexp_extract_all(text, '{repeats.UNIT}')) AS piece,
          unnest(range(len(regexp_extract_all(text, '{repeats.UNIT}')))) AS unit
-  FROM documents),
+  FROM d),
 placed AS (
-  SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY unit)::BIGINT AS "end",
+  SELECT *, sum(length(piece)) OVER (PARTITION BY r ORDER BY unit)::BIGINT AS "end",
          trim(regexp_replace(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm
   FROM u),
 counted AS (SELECT *, CASE norm WHEN '' THEN 0 ELSE len(string_split(norm, ' ')) END::INTEGER AS words FROM placed),
 ranked AS (
-  SELECT *, count(*) OVER (PARTITION BY norm) AS copies,
+  SELECT *, count(*) OVER (PARTITION BY norm) AS copies, row_number() OVER w AS nth,
          first_value(doc_id) OVER w AS keep_doc_id, first_value(unit) OVER w AS keep_unit
-  FROM counted WHERE words >= {repeats.LEAST_WORDS} WINDOW w AS (PARTITION BY norm ORDER BY doc_id NULLS LAST, unit))
+  FROM counted WHERE words >= {repeats.LEAST_WORDS} WINDOW w AS (PARTITION BY norm ORDER BY doc_id NULLS LAST, unit, "end" - length(piece), "end", r))
 SELECT doc_id, unit::INTEGER AS unit, "end" - length(piece) AS start, "end", words, copies, keep_doc_id, keep_unit::INTEGER AS keep_unit
-FROM ranked WHERE copies > 1 AND NOT (doc_id IS NOT DISTINCT FROM keep_doc_id AND unit = keep_unit)
+FROM ranked WHERE nth > 1
 """
 
 

@@ -49,3 +49,14 @@ def test_each_row_loses_its_own_units(spark):
     assert sorted(t for d, t in texts if d is None) == ["", "", ROWS[7][1]]
     assert sorted(t for d, t in texts if d == 5) == ["", "word " * 50_000]
     assert len(found) == 6
+
+
+def test_sql_counts_rows_too(spark):
+    import duckdb
+    import pandas as pd
+
+    from kifu_spark.llm import queries
+
+    documents = pd.DataFrame({"doc_id": pd.array([r[0] for r in ROWS], dtype="Int64"), "text": [r[1] for r in ROWS]})  # noqa: F841
+    got = duckdb.connect().execute(queries.OP3_SQL).fetchall()
+    assert sorted([(d, u, s, e, c, k, ku) for d, u, s, e, _, c, k, ku in got], key=str) == by_hand(ROWS)[0]
