@@ -1,22 +1,26 @@
 """Approximate nearest neighbours by cosine over several shifted Hilbert orderings.
 
 Each curve projects unit vectors to a few seeded orthogonal directions, shifts them by a seeded offset, and orders them
-along a Hilbert curve. Sampled splitters cut each ordering into ranges of about equal counts; a query looks at its own
-range and those around it, ``window`` of the ordering in all (moved inwards at the ends). The candidates of all curves
-are merged and ranked by the exact cosine, in double precision, of the original vectors.
+along a Hilbert curve. Every vector gets its exact rank on each curve, ranges of about equal counts follow from the
+ranks, and a query looks at the ranges that hold the ``window`` of ranks around its own (moved inwards at the ends).
+Inside a range vectors are one byte a component; the best of all curves are merged and ranked anew by the exact
+cosine, in double precision, of the original vectors.
 
 How wide a window must be is a property of the vectors. Where all directions carry the same variance no ordering tells
-much about nearness, and only wide windows reach a recall of 0.9; the defaults are set for that case. With vectors
-that lie near a few dimensions, much narrower ones do.
+much about nearness, and a recall of 0.9 takes about nine tenths of a scan; the defaults are set for that case. With
+vectors that lie near a few dimensions, much narrower windows or fewer curves do.
 
 Equal vectors are searched once: they are represented by their smallest identifier and their k + 1 smallest, kept by a
 limit that acts before the shuffle, so that a vector that many rows share costs no more than any other. Its queries
-all get the same list, each without its own row. Keys end in bits of a hash of the identifier, so that equal keys
-spread over ranges. Queries meet a range in chunks, so a task holds one range and one chunk, both of bounded size.
+all get the same list, each without its own row. Ranks come from windows over slices of a curve of at most about
+``SLICE_ROWS`` rows, with running sums over the slices. Queries of a range meet it in chunks, so a task holds one
+range and one chunk, both of bounded size.
 
 Cases: vectors that are null, empty, zero, or hold a null or a non-finite component take no part. Vectors of another
-length than the query's are never candidates. Ties go to the smaller identifier. Repeated rows (same identifier and
-vector) are one row. With fewer candidates than k, all are returned. An empty table gives an empty result.
+length than the query's are never candidates; each length has orderings of its own. Ties go to the smaller identifier.
+Repeated rows (same identifier and vector) are one row. A window holds at least ``LEAST_WINDOW`` vectors, so that with
+no more of them than that all candidates are found, and with fewer than k all are returned. Very long vectors are
+searched like others. Further columns never matter, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,82 +33,122 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kifu_spark.llm.hilbert import hilbert_keys
-from kifu_spark.session import cut
+from kifu_spark.session import cut, stored
 
-CURVES = 4
-WINDOW = 0.45
-DIMENSIONS, BITS, TIE_BITS = 3, 14, 15
-RANGE_ROWS = 4096
-LEAST_RANGES, MOST_RANGES = 20, 4096
+CURVES = 24
+WINDOW, LEAST_WINDOW = 0.03, 256
+DIMENSIONS, BITS = 8, 5
+LEAST_RANGE, MOST_RANGE = 64, 4096
+SLICE_ROWS = 1 << 16
 QUERY_CHUNK = 4096
 SEED = 11
 
 
 def curve_keys(vectors: np.ndarray, curves: int, seed: int = SEED) -> np.ndarray:
-    """Key of each vector (rows, all of one length) on each curve."""
+    """Key of each unit vector (rows, all of one length) on each curve."""
     size = vectors.shape[1]
     dims = min(DIMENSIONS, size)
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     keys = np.empty((len(vectors), curves), dtype=np.int64)
     for curve in range(curves):
         rng = np.random.default_rng([seed, curve, size])
         directions = np.linalg.qr(rng.standard_normal((size, dims)))[0]
-        # unit vectors of no preferred direction have coordinates of deviation 1 / sqrt(size): four deviations either way
-        placed = (unit @ directions * np.sqrt(size) + 4 + rng.random(dims)) / 9
+        # unit vectors of no preferred direction have coordinates of deviation 1 / sqrt(size): two deviations either way
+        placed = (vectors @ directions * np.sqrt(size) + 2 + rng.random(dims)) / 5
         cells = (np.clip(placed, 0, 1 - 1e-9) * (1 << BITS)).astype(np.int64)
         keys[:, curve] = hilbert_keys(cells, BITS)
     return keys
 
 
-def _key_column(vec: Column, tie: Column, curves: int, seed: int) -> Column:
-    @F.pandas_udf("array<long>")
-    def of(vectors: pd.Series, ties: pd.Series) -> pd.Series:
-        found = [None] * len(vectors)
+def codes(vectors: np.ndarray) -> np.ndarray:
+    """Unit vectors as one byte a component, after four bytes of the vector's own scale."""
+    scale = (np.abs(vectors).max(axis=1, keepdims=True) / 127).astype("<f4")
+    return np.hstack([scale.view(np.uint8), np.rint(vectors / scale).astype(np.int8).view(np.uint8)])
+
+
+def decoded(found: pd.Series) -> np.ndarray:
+    """The vectors of codes, all of one length."""
+    table = np.frombuffer(b"".join(found), np.uint8).reshape(len(found), -1)
+    return np.ascontiguousarray(table[:, 4:]).view(np.int8).astype(np.float32) * np.ascontiguousarray(table[:, :4]).view("<f4")
+
+
+def _coded_column(vec: Column, curves: int, seed: int) -> Column:
+    @F.pandas_udf("keys array<long>, code binary")
+    def of(vectors: pd.Series) -> pd.DataFrame:
+        keys, code = [None] * len(vectors), [None] * len(vectors)
         for size, rows in vectors.groupby(vectors.map(len)).groups.items():
             at = vectors.index.get_indexer(rows)
-            keys = curve_keys(np.array(vectors.iloc[at].tolist(), dtype=np.float64).reshape(-1, size), curves, seed)
-            keys = (keys << TIE_BITS) | ties.iloc[at].to_numpy()[:, None]
-            for i, key in zip(at, keys):
-                found[i] = key
-        return pd.Series(found)
+            units = np.array(vectors.iloc[at].tolist(), dtype=np.float64).reshape(-1, size)
+            units = units / np.abs(units).max(axis=1, keepdims=True)  # so that no norm overflows
+            units = units / np.linalg.norm(units, axis=1, keepdims=True)
+            for i, key, one in zip(at, curve_keys(units, curves, seed), codes(units)):
+                keys[i], code[i] = key, one.tobytes()
+        return pd.DataFrame({"keys": keys, "code": code})
 
-    return of(vec, tie)
+    return of(vec)
 
 
-def _range_column(keys: Column, splitters: list[list[int]]) -> Column:
-    """Of each curve's key, the number of splitters at or below it."""
+def _slice_column(size: Column, keys: Column, splitters: dict[int, list[list[int]]]) -> Column:
+    """Of each curve's key, the number of splitters of that length at or below it; none where a length has no splitters."""
 
     @F.pandas_udf("array<int>")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        edges = [np.array(s, dtype=np.int64) for s in splitters]
-        for series in batches:
-            table = np.array(series.tolist(), dtype=np.int64).reshape(-1, len(edges))
-            found = np.column_stack([e.searchsorted(table[:, c], side="right") for c, e in enumerate(edges)])
-            yield pd.Series(list(found.astype(np.int32)))
-
-    return of(keys)
+    def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        edges = {n: [np.array(s, dtype=np.int64) for s in found] for n, found in splitters.items()}
+        for sizes, series in batches:
+            yield pd.Series(
+                [
+                    np.array([e.searchsorted(k, side="right") for e, k in zip(edges[n], key)] if n in edges else [0] * len(key), np.int32)
+                    for n, key in zip(sizes, series)
+                ]
+            )
+
+    return of(size, keys)
+
+
+def ranked(keyed: DataFrame, curves: int) -> DataFrame:
+    """size, curve, rep, code, asked, rank (from 0) and total, for each vector on each curve."""
+    by_size = keyed.groupBy("size").count().filter(F.col("count") > SLICE_ROWS)
+    splitters = {}
+    for size, count in by_size.collect():  # lengths of more than SLICE_ROWS vectors only
+        slices = min(4096, -(-count // SLICE_ROWS))
+        parts = [i / slices for i in range(1, slices)]
+        cuts = [F.percentile_approx(F.element_at("keys", c + 1), parts, 100 * slices) for c in range(curves)]
+        splitters[size] = [list(s) for s in keyed.filter(F.col("size") == size).agg(*cuts).first()]
+    sliced = keyed.withColumn("both", F.arrays_zip("keys", _slice_column(F.col("size"), F.col("keys"), splitters).alias("slices")))
+    dealt = sliced.select("size", "rep", "code", "asked", F.posexplode("both").alias("curve", "one")).select(
+        "size", "rep", "code", "asked", "curve", F.col("one.keys").alias("key"), F.col("one.slices").alias("slice")
+    )
+    one_slice = Window.partitionBy("size", "curve", "slice")
+    line = Window.partitionBy("size", "curve")
+    cells = (
+        dealt.groupBy("size", "curve", "slice")
+        .agg(F.count("*").alias("n"))
+        .withColumn("before", F.sum("n").over(line.orderBy("slice")) - F.col("n"))
+        .withColumn("total", F.sum("n").over(line))
+        .drop("n")
+    )
+    numbered = dealt.withColumn("nth", F.row_number().over(one_slice.orderBy("key", "rep")))
+    return numbered.join(cells, ["size", "curve", "slice"]).select(
+        "size", "curve", "rep", "code", "asked", (F.col("before") + F.col("nth") - 1).alias("rank"), "total"
+    )
 
 
-def _best(key: tuple, data: pd.DataFrame, asked: pd.DataFrame, count: int) -> pd.DataFrame:
-    """The best candidates of one range for one chunk of queries."""
+def _best(data: pd.DataFrame, asked: pd.DataFrame, count: int) -> pd.DataFrame:
+    """The best candidates of one range for one chunk of queries, by their codes."""
     out = []
     if len(data) and len(asked):
-        for size, rows in data.groupby(data["vec"].map(len)):
-            mine = asked[asked["vec"].map(len) == size]
-            if not len(mine):
-                continue
-            x, q = np.array(rows["vec"].tolist()), np.array(mine["vec"].tolist())
-            ids = rows["rep"].to_numpy()
-            norms = np.linalg.norm(x, axis=1)
-            for at in range(0, len(q), 512):
-                part = q[at : at + 512]
-                scores = part @ x.T / (np.linalg.norm(part, axis=1)[:, None] * norms[None, :])
-                least = np.partition(scores, -min(count, len(ids)), axis=1)[:, -min(count, len(ids))]
-                for query, row, low in zip(mine["rep"].to_numpy()[at:], scores, least):
-                    near = np.flatnonzero(row >= low)
-                    near = near[np.lexsort((ids[near], -row[near]))][:count]
-                    out.append(pd.DataFrame({"query": query, "rep": ids[near], "score": row[near]}))
-    return pd.concat(out) if out else pd.DataFrame({"query": [], "rep": [], "score": []})
+        x, q, ids = decoded(data["code"]), decoded(asked["code"]), data["rep"].to_numpy()
+        some = min(count, len(ids))
+        for at in range(0, len(q), 512):
+            scores = q[at : at + 512] @ x.T
+            near = np.argpartition(scores, -some, axis=1)[:, -some:]
+            queries = np.repeat(asked["rep"].to_numpy()[at : at + 512], some)
+            out.append(pd.DataFrame({"query": queries, "rep": ids[near].ravel(), "near": np.take_along_axis(scores, near, 1).ravel()}))
+    return pd.concat(out) if out else pd.DataFrame({"query": [], "rep": [], "near": []})
+
+
+def _cosine(a: Column, b: Column) -> Column:
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
 def nearest(
@@ -115,6 +159,7 @@ def nearest(
     k: int = 5,
     curves: int = CURVES,
     window: float = WINDOW,
+    least_window: int = LEAST_WINDOW,
     seed: int = SEED,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for the rows where is_query (over column vec_id) holds, against all rows."""
@@ -126,40 +171,45 @@ def nearest(
     least_ids = Window.partitionBy("vec").orderBy("vec_id")
     few = clean.distinct().withColumn("nth", F.row_number().over(least_ids)).filter(F.col("nth") <= k + 1)
     reps = few.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    tie = F.pmod(F.xxhash64("rep"), F.lit(1 << TIE_BITS))
-    keyed = cut(reps.withColumn("keys", _key_column(F.col("vec"), tie, curves, seed)))
-    count = keyed.count()
-    ranges = min(MOST_RANGES, max(LEAST_RANGES, -(-count // RANGE_ROWS)))
-    splits = [F.percentile_approx(F.element_at("keys", c + 1), [i / ranges for i in range(1, ranges)], 100 * ranges) for c in range(curves)]
-    splitters = [list(s or []) for s in keyed.agg(*splits).first()]  # curves * ranges numbers
-
-    dealt = keyed.select("rep", "vec", F.posexplode(_range_column(F.col("keys"), splitters)).alias("curve", "range"))
     queries = clean.filter(is_query).select(F.col("vec_id").alias("query_id"), "vec").distinct()
-    asked = queries.select("vec").distinct()
-    chunks = max(1, -(-asked.count() // QUERY_CHUNK))
-    chunk = F.pmod(F.xxhash64("rep"), F.lit(chunks))
-    span = min(ranges, int(np.ceil(window * ranges)) + 1)
-    first = F.greatest(F.lit(0), F.least(F.lit(ranges - span), F.col("range") - (span - 1) // 2))
-    sought = (
-        dealt.join(asked, "vec", "left_semi")
-        .withColumn("chunk", chunk)
-        .withColumn("range", F.explode(F.sequence(first, first + span - 1)))
-        .select(*[F.col(c).alias(c) for c in ("curve", "range", "chunk", "rep", "vec")])  # names of its own, for the cogroup
+    asked = queries.select("vec", F.lit(True).alias("asked")).distinct()
+    coded = reps.join(asked, "vec", "left").withColumn("coded", _coded_column(F.col("vec"), curves, seed))
+    keyed = cut(coded.select("rep", "ids", "vec", F.size("vec").alias("size"), F.col("asked").isNotNull().alias("asked"), "coded.keys", "coded.code"))
+
+    wide = F.least(F.col("total"), F.greatest(F.lit(least_window), F.ceil(F.col("total") * window)))
+    rows = F.least(F.lit(MOST_RANGE), F.greatest(F.lit(LEAST_RANGE), F.floor(wide / 4)))
+    placed = stored(ranked(keyed, curves).withColumns({"wide": wide, "rows": rows}))
+    range_of = lambda rank: F.floor(rank / F.col("rows")).cast("int")
+    low = F.greatest(F.lit(0), F.least(F.col("total") - F.col("wide"), F.col("rank") - F.floor(F.col("wide") / 2)))
+    sought = placed.filter("asked").select(
+        "size", "curve", "rep", "code", F.explode(F.sequence(range_of(low), range_of(low + F.col("wide") - 1))).alias("range")
     )
-    held = dealt.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).withColumn("chunk", F.col("chunk").cast("long"))
-    by = ["curve", "range", "chunk"]
+    by_range = ["size", "curve", "range"]
+    chunks = sought.groupBy(*by_range).agg(F.ceil(F.count("*") / QUERY_CHUNK).cast("int").alias("chunks"))
+    dealt = placed.select("size", "curve", range_of(F.col("rank")).alias("range"), "rep", "code").join(chunks, by_range)
+    held = dealt.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    sent = sought.join(chunks, by_range).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).drop("chunks")
+    by, most = [*by_range, "chunk"], 4 * (k + 1)
+    columns = [*by, "rep", "code"]
+    sent = sent.select(*[F.col(c).alias(c) for c in columns])  # names of its own, for the cogroup
     found = (
         held.groupBy(*by)
-        .cogroup(sought.groupBy(*by))
-        .applyInPandas(lambda key, a, b: _best(key, a, b, k + 1), "query long, rep long, score double")
+        .cogroup(sent.groupBy(*by))
+        .applyInPandas(lambda a, b: _best(a, b, most), "query long, rep long, near double")
         .groupBy("query", "rep")
-        .agg(F.max("score").alias("score"))
+        .agg(F.max("near").alias("near"))
+    )
+    short = Window.partitionBy("query").orderBy(F.desc("near"), "rep")
+    candidates = found.withColumn("nth", F.row_number().over(short)).filter(F.col("nth") <= most).select("query", "rep")
+    scored = (
+        candidates.join(keyed.select("rep", "ids", F.col("vec").alias("theirs")), "rep")
+        .join(keyed.filter("asked").select(F.col("rep").alias("query"), F.col("vec").alias("own")), "query")
+        .select("query", "rep", "ids", _cosine(F.col("own"), F.col("theirs")).alias("score"))
     )
     best = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
-    top = found.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k + 1).drop("nth")
+    top = scored.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k + 1)
     listed = (
-        top.join(keyed.select("rep", "ids"), "rep")
-        .select("query", F.explode("ids").alias("vec_id"), "score")
+        top.select("query", F.explode("ids").alias("vec_id"), "score")
         .groupBy("query")
         .agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id"))).alias("list"))
     )  # at most (k + 1) squared entries each
