@@ -6,35 +6,35 @@ known n-gram counts, from four characters down to one, and the word adds their m
 over its words, and the answer is the most likely language with its share of the likelihood.
 
 The model is fitted on a bounded sample of labelled rows: at most about ``rows_per_lang`` for each language, chosen by
-a hash of the identifier. It keeps the ``most_words`` most frequent (language, word) counts and ``most_grams``
-n-gram counts, and besides the ``least_each`` most frequent of each language, so that no language loses its words as
-others grow. Its size, which each worker gets, is bounded by these parameters. Every whole text is scored.
-
-Cases: a null text or one without a letter is ``und`` with score 0, as is every text where no row teaches a language.
-Labels that are null teach nothing. Repeated rows are scored alike; ties go to the language first in code point order.
+a hash of the identifier. It keeps every word and every n-gram of these rows, so that its size, which the driver and
+each worker hold, is bounded by that parameter and the number of languages. Every whole text is scored.
+
+Cases: words are runs of letters (Unicode categories L*). A null text or one without a letter is ``und`` with score 0,
+number signs such as a half or a circled one being none, as is every text where no row teaches a language. Labels that
+are null teach nothing. Repeated rows are scored alike; ties go to the language first in code point order. A text of
+any length is read whole, its words at once. Further columns never matter, whatever their names. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kifu_spark.session import expect_long_texts
+from kifu_spark.session import expect_long_texts, stored
 
-ROWS_PER_LANG = 3000
-MOST_WORDS = 60_000
-MOST_GRAMS = 40_000
-LEAST_EACH = 10_000
+ROWS_PER_LANG = 1000
 LONGEST_GRAM = 4
-WORDS_KEPT = 180_000
+#: Unseen words whose evidence a worker keeps; forgetting them changes no score.
+WORDS_KEPT = 120_000
 UNDETERMINED = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}+")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -102,7 +102,7 @@ class Scorer:
         self.table = np.vstack([table, np.zeros((4096, len(self.model.langs)))])
 
     def _learn(self, words: list[str]) -> None:
-        if self.used > self.kept:
+        if self.used > len(self.model.words[0]) + self.kept:
             self._reset()
         fresh = [word for word in dict.fromkeys(words) if word not in self.rows]
         last = self.used + len(fresh)
@@ -126,13 +126,14 @@ class Scorer:
         return self.model.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def _most_frequent(counts: DataFrame, key: str, most: int, least_each: int) -> list:
-    """Rows lang, key, n: the most frequent of all, and the most frequent of each language."""
-    order = [F.desc("n"), F.col(key)]
-    of_all = counts.orderBy(F.desc("n"), "lang", key).limit(most).select("lang", key, "n")
-    of_each = counts.select("lang", key, "n", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).alias("nth"))
-    both = of_all.union(of_each.filter(F.col("nth") <= least_each).drop("nth")).distinct()
-    return both.orderBy(F.desc("n"), "lang", key).collect()
+def _most_frequent(counts: DataFrame, key: str, most: int | None, least_each: int) -> list:
+    """Rows lang, key, n: all of them, or the most frequent of all and of each language."""
+    if most is not None:
+        order = [F.desc("n"), F.col(key)]
+        of_all = counts.orderBy(F.desc("n"), "lang", key).limit(most).select("lang", key, "n")
+        of_each = counts.select("lang", key, "n", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).alias("nth"))
+        counts = of_all.union(of_each.filter(F.col("nth") <= least_each).drop("nth")).distinct()
+    return counts.orderBy(F.desc("n"), "lang", key).collect()
 
 
 def fit(
@@ -141,11 +142,11 @@ def fit(
     text_col: str = "text",
     lang_col: str = "lang",
     rows_per_lang: int = ROWS_PER_LANG,
-    most_words: int = MOST_WORDS,
-    most_grams: int = MOST_GRAMS,
-    least_each: int = LEAST_EACH,
+    most_words: int | None = None,
+    most_grams: int | None = None,
+    least_each: int = 10_000,
 ) -> Model:
-    """A model of the rows whose language is known."""
+    """A model of the rows whose language is known; of fewer words or n-grams than they have only where asked for."""
     expect_long_texts(labelled.sparkSession)
     known = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(
         "lang is not null and text is not null"
@@ -165,31 +166,23 @@ def fit(
                     yield pd.DataFrame({"lang": lang, "word": [*n.keys()], "n": [*n.values()]})
 
     words = sample.select("lang", "text").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    words = words.persist()
+    words = stored(words)
     marked = F.concat(F.lit("<"), "word", F.lit(">"))
-    grams = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    F.when(F.length(marked) >= n, F.sequence(F.lit(1), F.length(marked) - n + 1)).otherwise(F.array().cast("array<int>")),
-                    lambda at, n=n: F.substring(marked, at, F.lit(n)),
-                )
-                for n in range(1, LONGEST_GRAM + 1)
-            ]
-        )
-    )
+
+    def of_length(n: int) -> Column:
+        places = F.when(F.length(marked) >= n, F.sequence(F.lit(1), F.length(marked) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda at: F.substring(marked, at, F.lit(n)))
+
+    grams = F.flatten(F.array(*[of_length(n) for n in range(1, LONGEST_GRAM + 1)]))
     gram_counts = words.select("lang", "n", F.explode(grams).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    gram_counts = gram_counts.persist()
     top_words = _most_frequent(words, "word", most_words, least_each)
     top_grams = _most_frequent(gram_counts, "gram", most_grams, least_each)
-    gram_counts.unpersist()
-    words.unpersist()
     return Model([lang for lang, _ in per_lang], ((r.lang, r.word, r.n) for r in top_words), ((r.lang, r.gram, r.n) for r in top_grams))
 
 
 def language_column(text: Column, model: Model, df: DataFrame) -> Column:
     """struct<lang_pred, score> of each text."""
-    sent = df.sparkSession.sparkContext.broadcast(model)  # bounded by most_words, most_grams and least_each
+    sent = df.sparkSession.sparkContext.broadcast(model)  # bounded by rows_per_lang
 
     @F.pandas_udf("lang_pred string, score double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -6,15 +6,19 @@ after a reporting word; the target transducer adds weight where a person is addr
 one weighs what is left. They are composed into one table, and each clause that holds an insult or a threat is scored
 by its path. A document's evidence is the sum over its clauses; words outside such clauses add nothing.
 
-Insults are a short fixed list and those learned from labelled rows: prefixes of words whose document counts in toxic rows stand out from those
-in others (likelihood ratio and odds), each prefix as long as it stays as frequent. Threat, target, negation and
-reporting words are fixed lists too. A logistic curve over the saturating evidence, fitted on the same rows, gives the score.
+Insults are a short fixed list and stems learned from labelled rows: beginnings of words whose document counts in toxic
+rows stand out from those in others (likelihood ratio and odds), each stem as long as it stays as frequent. Threat,
+target, negation and reporting words are fixed lists too. A logistic curve over the saturating evidence, fitted on the
+same rows, gives the score.
 
 The model is fitted on a bounded sample: about ``labelled_rows`` labelled rows at most, chosen by a hash of the
-identifier, one of each group of copies (else their words would stand out as insults do), and at most ``most_features`` candidate prefixes. Every whole text is scored.
+identifier, one of each group of copies (else their words would stand out as insults do). All stems of these rows are
+counted in Spark; only those whose odds stand out reach the driver. Every whole text is scored.
 
 Cases: null and empty texts have no clauses and get the base score. Where no row is toxic, or none is not, the curve
-is flat and low. Repeated rows are scored alike. Labels that are null teach nothing.
+is flat and low. Repeated rows are scored alike. Labels that are null teach nothing. A text of any length is read
+whole; its evidence is a sum over clauses and takes no memory. Further columns never matter, whatever their names. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,8 +38,8 @@ from kifu_spark.llm.grammar import Composed, Transducer
 from kifu_spark.session import cut, expect_long_texts
 
 LABELLED_ROWS = 20_000
-MOST_FEATURES = 50_000
 SHORTEST, LONGEST = 4, 12
+LEAST_ROWS = 3
 LEAST_RATIO, LEAST_ODDS = 25.0, 20.0
 THRESHOLD = 0.7
 
@@ -102,11 +106,10 @@ class Scorer:
         return total
 
 
-def prefixes_of(text: str | None, only: frozenset[str] | None = None) -> set[str]:
-    """The distinct word prefixes of a text, of every length between the shortest and the longest."""
+def stems_of(text: str | None) -> set[str]:
+    """The distinct word stems of a text, of every length between the shortest and the longest."""
     words = set(_WORD.findall((text or "").lower()))
-    found = {w[:n] for w in words for n in range(SHORTEST, min(LONGEST, len(w)) + 1)}
-    return found if only is None else found & only
+    return {w[:n] for w in words for n in range(SHORTEST, min(LONGEST, len(w)) + 1)}
 
 
 def sketch_of(text: str | None, shingle: int = 3) -> int:
@@ -161,7 +164,7 @@ def fit_curve(counts: Iterable[tuple[float, int, int]], rounds: int = 50, ridge:
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    labelled_rows: int = LABELLED_ROWS, most_features: int = MOST_FEATURES,
+    labelled_rows: int = LABELLED_ROWS,
 ) -> tuple[list[str], float, float]:
     """(insult prefixes, intercept, slope) from labelled rows."""
     expect_long_texts(docs.sparkSession)
@@ -178,20 +181,18 @@ def fit(
     if not n_toxic or not n_clean:
         return [], *fit_curve([])
 
-    def counting(only: frozenset[str] | None):
-        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                n = Counter(f for text in batch["text"] for f in prefixes_of(text, only))
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for y, texts in batch.groupby("y")["text"]:
+                n = Counter(f for text in texts for f in stems_of(text))
                 if n:
-                    yield pd.DataFrame({"f": [*n.keys()], "n": [*n.values()]})
+                    yield pd.DataFrame({"f": [*n.keys()], "y": y, "n": [*n.values()]})
 
-        return count
-
-    def counted(y: int, only: frozenset[str] | None) -> DataFrame:
-        return sample.filter(F.col("y") == y).select("text").mapInPandas(counting(only), "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
-
-    toxic = {r.f: r.n for r in counted(1, None).filter("n >= 3").orderBy(F.desc("n"), "f").limit(most_features).collect()}
-    clean = {r.f: r.n for r in counted(0, frozenset(toxic)).collect()}
+    stems = sample.filter("y in (0, 1)").select("text", F.col("y").cast("int").alias("y")).mapInPandas(count, "f string, y int, n long")
+    counts = stems.groupBy("f").agg(*[F.coalesce(F.sum(F.when(F.col("y") == y, F.col("n"))), F.lit(0)).alias(name) for y, name in ((1, "a"), (0, "b"))])
+    odds = (F.col("a") + 0.5) / (n_toxic + 1) >= LEAST_ODDS * (F.col("b") + 0.5) / (n_clean + 1)
+    likely = counts.filter((F.col("a") >= LEAST_ROWS) & odds).collect()
+    toxic, clean = {r.f: r.a for r in likely}, {r.f: r.b for r in likely}
     insults = select_insults(toxic, clean, n_toxic, n_clean)
     seen = sample.select("y", F.round(evidence_column(F.col("text"), insults), 1).alias("x")).groupBy("x", "y").count().collect()
     return insults, *fit_curve((r.x, r.y, r["count"]) for r in seen)
