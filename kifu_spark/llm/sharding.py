@@ -2,19 +2,21 @@
 
 A group is all rows with equal texts (compared by SHA-256). The scheduling heap must stay small however many groups
 there are, so it gets items: each group above ``1 / (shards * fine)`` of the whole size is an item of its own, of
-which there are fewer than shards * fine, and the others are bound by hash into ``bundles`` items. The items, at most
-shards * fine + bundles, are sorted by size and go to the least-loaded shard through a heap. A bundle is a small
-part of a shard, so loads end up within about one bundle of each other unless one group exceeds a whole shard.
+which there are fewer than shards * fine, and only the others are bound by hash into ``bundles`` items. The items, at
+most shards * fine + bundles, are sorted by size and go to the least-loaded shard through a heap, so that loads end up
+within one item of each other unless one group exceeds a whole shard. A bundle is of about the size of the smallest
+groups with an item of their own or, with more small groups than bundles, of the rest of the whole over ``bundles``.
 
 Places inside a shard (``slot``) come without sorting a shard in one task: items are split by a hash of the
-identifier into cells of about equal row counts, cells get their first slot from a running sum over the cell counts,
+row's place into cells of about equal row counts, cells get their first slot from a running sum over the cell counts,
 and rows are numbered inside their cell.
 
 Only digests, sizes and identifiers are shuffled; copies are summed before the shuffle. Tables that are broadcast have
 one row for each item or cell, both bounded by parameters.
 
 Cases: a null text has no bytes, size 1, checksum 0, and counts as a copy of the empty text. Repeated rows are rows of
-their own with slots of their own. Null identifiers are allowed. An empty table gives an empty result.
+their own with slots of their own, however many there are, and so are rows without an identifier. A text of any length
+is only measured and hashed. Further columns never matter, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kifu_spark.session import cut
+from kifu_spark.session import cut, stored
 
 SHARDS = 16
-FINE = 128
+FINE = 4096
 BUNDLES = 4096
 CELLS = 8192
 
@@ -52,8 +54,9 @@ def shard_documents(
     fine: int = FINE,
     bundles: int = BUNDLES,
     cells: int = CELLS,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot, text_sha256 for every row."""
+    """doc_id, size, text_crc32, shard, slot, text_sha256 for every row, and ``row`` where a column numbers the rows."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = cut(
@@ -62,6 +65,7 @@ def shard_documents(
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text).alias("text_crc32"),
             F.coalesce(F.sha2(text, 256), F.lit("")).alias("text_sha256"),
+            (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"),
         )
     )
     total, count = rows.agg(F.sum("size"), F.count("*")).first()
@@ -84,7 +88,7 @@ def shard_documents(
         rows.join(F.broadcast(large_table), "text_sha256", "left")
         .withColumn("item", F.coalesce("large_item", bundle))
         .join(F.broadcast(item_table), "item")
-        .withColumn("cell", F.pmod(F.xxhash64("doc_id", "item"), F.col("cells")))
+        .withColumn("cell", F.pmod(F.xxhash64("row", "item"), F.col("cells")))
     )
     firsts = (
         in_cells.groupBy("shard", "item", "cell")
@@ -92,16 +96,23 @@ def shard_documents(
         .withColumn("first_slot", F.sum("rows").over(Window.partitionBy("shard").orderBy("item", "cell")) - F.col("rows"))
         .select("item", "cell", "first_slot")
     )
-    in_cell = Window.partitionBy("item", "cell").orderBy("doc_id", "text_sha256")
+    in_cell = Window.partitionBy("item", "cell").orderBy("doc_id", "text_sha256", "row")
     return (
         in_cells.withColumn("nth", F.row_number().over(in_cell))
         .join(F.broadcast(firsts), ["item", "cell"])
-        .select("doc_id", "size", "text_crc32", "shard", (F.col("first_slot") + F.col("nth") - 1).alias("slot"), "text_sha256")
-    )
+        .select(
+            "doc_id", "size", "text_crc32", "shard", (F.col("first_slot") + F.col("nth") - 1).alias("slot"), "text_sha256",
+            *(["row"] if row_col else []),
+        )
+    )
 
 
-def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", **how) -> None:
-    """Write the rows of docs as one folder for each shard, in slot order inside each file."""
-    placed = shard_documents(docs, id_col, **how).select(F.col("doc_id").alias("__id"), "shard", "slot").dropDuplicates(["__id"])
-    joined = docs.join(placed, F.col(id_col).eqNullSafe(F.col("__id"))).drop("__id")
-    joined.repartition("shard", F.pmod(F.col("slot"), F.lit(64))).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", **how) -> None:
+    """Write the rows of docs as one folder for each shard, in slot order inside each file; each row once, by its own slot."""
+    numbered = stored(docs.select(F.struct("*").alias("whole"), F.monotonically_increasing_id().alias("row")))
+    rows = numbered.select(F.col("whole").getField(id_col).alias("doc_id"), F.col("whole").getField(text_col).alias("text"), "row")
+    placed = shard_documents(rows, row_col="row", **how).select("row", "shard", "slot")
+    joined = numbered.join(placed, "row")
+    dealt = joined.repartition("shard", F.pmod(F.col("slot"), F.lit(64))).sortWithinPartitions("shard", "slot")
+    names = [n for n in docs.columns if n != "shard"]  # the folders name the shard
+    dealt.select(*[F.col("whole").getField(n).alias(n) for n in names], "shard").write.partitionBy("shard").parquet(path)
