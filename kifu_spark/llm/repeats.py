@@ -26,10 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kifu_spark.llm.skew import HOT_SHARE, join_counted
 from kifu_spark.session import expect_long_texts, stored
 
 LEAST_WORDS = 5
-HOT_SHARE = 1 / 1024
 #: Unit pattern; every character of a text is in exactly one unit. Python and RE2 read it alike.
 UNIT = r"[^\n.!?]*[\n.!?]+|[^\n.!?]+"
 _UNIT = re.compile(UNIT)
@@ -65,10 +65,7 @@ def _repeated(rows: DataFrame, least_words: int, hot_share: float = HOT_SHARE) -
         F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), *place)).alias("keep")
     )
     groups = stored(groups.filter("copies > 1"))
-    least_hot = int(found.count() * hot_share)
-    hot = F.broadcast(groups.filter(F.col("copies") > least_hot))  # fewer than 1 / hot_share rows
-    rest = found.join(hot.select("digest"), "digest", "left_anti").join(groups.filter(F.col("copies") <= least_hot), "digest")
-    both = found.join(hot, "digest").unionByName(rest)
+    both = join_counted(found, groups, "digest", found.count(), hot_share=hot_share)
     return both.filter(~((F.col("row") == F.col("keep.row")) & (F.col("unit") == F.col("keep.unit"))))
 
 

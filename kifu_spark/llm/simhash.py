@@ -12,11 +12,14 @@ one more): two members are within r bits exactly if they share such a point. Mem
 more than the hidden bits, and each is linked to the smallest. Work is linear in the members of the buckets, all links
 are exact, and components over them are those of the full graph.
 
-Copies never multiply: tables hold distinct fingerprints, made by a pre-aggregated minimum identifier.
+Copies never multiply: tables hold distinct fingerprints, made by a pre-aggregated minimum identifier, and prints with
+many copies get their component by a broadcast.
 
 Cases: null and empty texts, and texts of white space, have fingerprint zero and link like any other. Repeated rows
 share a fingerprint. A null identifier gets a component by its fingerprint's links, and is never the smallest unless
-all are null. An empty table gives an empty result.
+all are null. Rows that share an identifier are rows of their own, with their own texts. A text of any length is read
+whole; its shingles are counted in blocks of bounded size. Further columns never matter, whatever their names. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +34,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from kifu_spark.llm.components import components
-from kifu_spark.session import cut, expect_long_texts
+from kifu_spark.llm.skew import join_counted
+from kifu_spark.session import cut, expect_long_texts, stored
 
 BITS = 64
 RADIUS = 2
@@ -110,6 +114,23 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return at.join(other, "point").filter("fp < fp2").select(F.col("fp2").alias("u"), F.col("fp").alias("v")).distinct()
 
 
+def _grouped(rows: DataFrame, radius: int, shingle: int, seed: int) -> DataFrame:
+    """fp, component_id, group_fp beside the columns of rows (doc_id, text and others), without the text."""
+    expect_long_texts(rows.sparkSession)
+    printed = cut(rows.withColumn("fp", fingerprint_column(F.col("text"), shingle, seed)).drop("text"))
+    firsts = cut(printed.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
+    rooted = components(links(firsts.select("fp"), radius))
+    linked = firsts.join(rooted, F.col("fp") == F.col("node"))
+    least = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
+    named = linked.join(least, "root").select(F.col("fp").alias("linked_fp"), "least_id", "root")
+    by_print = stored(
+        firsts.join(named, F.col("fp") == F.col("linked_fp"), "left").select(
+            "fp", "copies", F.coalesce("least_id", "first_id").alias("component_id"), F.coalesce("root", "fp").alias("group_fp")
+        )
+    )
+    return join_counted(printed, by_print, "fp", printed.count()).drop("copies")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -119,35 +140,38 @@ def near_duplicates(
     seed: int = SEED,
 ) -> DataFrame:
     """doc_id, fp, fingerprint, component_id (smallest identifier reachable over links), group_fp (its smallest print) for every row."""
-    expect_long_texts(docs.sparkSession)
-    printed = cut(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col), shingle, seed).alias("fp")))
-    firsts = cut(printed.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    rooted = components(links(firsts.select("fp"), radius))
-    linked = firsts.join(rooted, F.col("fp") == F.col("node"))
-    least = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    named = linked.join(least, "root").select(F.col("fp").alias("linked_fp"), "least_id", "root")
-    by_print = firsts.join(named, F.col("fp") == F.col("linked_fp"), "left").select(
-        "fp", F.coalesce("least_id", "first_id").alias("component_id"), F.coalesce("root", "fp").alias("group_fp")
-    )
-    return printed.join(by_print, "fp").select(
-        "doc_id",
-        "fp",
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        "component_id",
-        "group_fp",
-    )
+    found = _grouped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), radius, shingle, seed)
+    return found.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_fp")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs that stay, one of each component: the row of its smallest identifier.
+def keep_one_of_each(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    radius: int = RADIUS,
+    shingle: int = SHINGLE,
+    seed: int = SEED,
+) -> DataFrame:
+    """The rows of docs that stay, one of each component.
 
-    Rows that share an identifier are one document. A component whose rows all lack one keeps a row of its smallest
-    fingerprint.
+    It is the row of the smallest identifier (a null one last), then of the smallest fingerprint, then of the smallest
+    hash over all columns but maps; rows that are equal in all of these are one. Rows of different components both
+    stay, whether they share an identifier or not.
     """
-    found = near_duplicates(docs, id_col, text_col, **how)
-    ids = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    named = docs.join(ids, F.col(id_col) == F.col("__kept_id"), "left_semi").dropDuplicates([id_col])
-    prints = found.filter("component_id is null and fp = group_fp").select(F.col("fp").alias("__kept_fp")).distinct()
-    bare = docs.filter(F.col(id_col).isNull()).withColumn("__fp", fingerprint_column(F.col(text_col), how.get("shingle", SHINGLE), how.get("seed", SEED)))
-    bare = bare.join(prints, F.col("__fp") == F.col("__kept_fp"), "left_semi").dropDuplicates(["__fp"]).drop("__fp")
-    return named.unionByName(bare)
+    hashed = F.xxhash64(*[F.col(f"`{name}`") for name, kind in docs.dtypes if "map<" not in kind])
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), hashed.alias("row"))
+    found = _grouped(rows, radius, shingle, seed)
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp", "row"))
+    chosen = found.groupBy("group_fp").agg(one.alias("one")).select("one.doc_id", "one.row")
+    times = found.groupBy("doc_id", "row").agg(F.count("*").alias("times")).filter("times > 1")
+    same = F.col("chosen.doc_id").eqNullSafe(F.col("times.doc_id")) & (F.col("chosen.row") == F.col("times.row"))
+    marked = chosen.alias("chosen").join(times.alias("times"), same, "left").select(
+        F.col("chosen.doc_id").alias("__id"), F.col("chosen.row").alias("__row"), F.col("times").isNotNull().alias("__repeated")
+    )
+    marked = stored(marked.distinct())
+    whole = docs.select(F.struct("*").alias("whole"), F.col(id_col).alias("doc_id"), hashed.alias("row"))
+    kept = whole.join(marked, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__row")))
+    # only equal rows still come more than once, and only those are gathered by their key
+    alone = kept.filter(~F.col("__repeated")).select("whole")
+    repeated = kept.filter("__repeated").dropDuplicates(["doc_id", "row"]).select("whole")
+    return alone.unionByName(repeated).select(*[F.col("whole").getField(name).alias(name) for name in docs.columns])
