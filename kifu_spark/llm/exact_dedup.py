@@ -4,14 +4,19 @@ Rows are range-partitioned by sampled splitters of the normalised text, sorted i
 (the sort spills), and neighbours are compared in full: a run of equal texts is one window group.
 
 The splitters are a short head of the text plus a 64-bit hash of all of it, so what the driver samples stays
-small however long the texts are; the sort and the comparison use the whole text. A group of copies that holds
-more than ``hot_share`` of all rows would still be one run in one task. There are fewer than 1 / hot_share such
-groups; they are found by a pre-aggregated count per SHA-256, broadcast (a few hundred rows of fixed size), and
-their runs are cut into ``hot_slices`` slices by identifier. Their smallest identifier and size come from the count.
+small however long the texts are; the sort and the comparison use the whole text. A text is normalised and hashed
+once and written with its hashes; where a row is carried along, the normalised text beside it is only written if it
+differs.
+
+A group of copies that holds more than ``hot_share`` of all rows, and more than ``hot_rows``, would be one run in one
+task. There are fewer than 1 / hot_share such groups; they are found by a pre-aggregated count per SHA-256, broadcast
+(a few hundred rows of fixed size), and their runs are cut into ``hot_slices`` slices by identifier. Their smallest
+identifier and size come from the count.
 
 Cases: null text counts as empty and joins the group of empty texts. A null identifier sorts after all others,
 so it stays only where its group has no other. Rows that repeat an identifier and a text are one group, of which
-one row stays. An empty table gives an empty result. Further columns never matter: names are bound before use.
+one row stays. A text of any length is compared whole. An empty table gives an empty result. Further columns never
+matter: names are bound before use.
 """
 
 from __future__ import annotations
@@ -20,8 +25,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kifu_spark.llm.text import one_space
+from kifu_spark.session import stored
 
 HEAD = 32
+HOT_ROWS = 1000
 
 
 def exact_dedup(
@@ -31,15 +38,19 @@ def exact_dedup(
     hot_share: float = 1 / 512,
     hot_slices: int = 64,
     carry: bool = False,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row; with carry also the input row as struct ``row``."""
+    norm = one_space(F.col(text_col))
     base = docs.select(
-        F.col(id_col).alias("doc_id"),
-        one_space(F.col(text_col)).alias("norm"),
-        *([F.struct("*").alias("row")] if carry else []),
-    ).withColumn("sha", F.coalesce(F.sha2("norm", 256), F.lit("")))
+        F.col(id_col).alias("doc_id"), norm.alias("norm"), *([F.struct("*").alias("row")] if carry else [])
+    ).withColumns({"sha": F.coalesce(F.sha2("norm", 256), F.lit("")), "head": F.substring("norm", 1, HEAD), "hash": F.xxhash64("norm")})
+    text = F.coalesce(F.col("row").getField(text_col), F.lit("")) if carry else None
+    if carry:
+        base = base.withColumn("norm", F.when(F.col("norm") != text, F.col("norm")))
+    base = stored(base)
 
-    least = int(docs.count() * hot_share)
+    least = max(hot_rows, int(base.count() * hot_share))
     hot = (
         base.groupBy("sha")
         .agg(F.count("*").alias("hot_size"), F.min("doc_id").alias("hot_keep"))
@@ -52,9 +63,9 @@ def exact_dedup(
         F.when(F.col("hot_size").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(hot_slices))).otherwise(F.lit(0)),
     )
     splitter = ["head", "hash", "slice"]
-    placed = marked.withColumns({"head": F.substring("norm", 1, HEAD), "hash": F.xxhash64("norm")}).repartitionByRange(
-        *splitter
-    )
+    placed = marked.repartitionByRange(*splitter)
+    if carry:
+        placed = placed.withColumn("norm", F.coalesce("norm", text))
     run = Window.partitionBy(*splitter, "norm")
     in_order = run.orderBy(F.col("doc_id").asc_nulls_last())
     return (
