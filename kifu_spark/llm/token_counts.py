@@ -6,14 +6,15 @@ in one trie and the forward score is computed once for each node, however many p
 also holds its best split's number of pieces, which is the count where a pre-token ends. Counts of a text are then
 lookups. Characters that no piece covers count one token for each UTF-8 byte.
 
-The trie lives in a task and is bounded: past ``most_nodes`` it is dropped and begun anew, which changes no count.
-Nothing is shuffled.
+The trie lives in a worker and is bounded: past ``most_nodes`` it is dropped before the next text with an unseen
+pre-token and begun anew, which changes no count. Nothing is shuffled.
 
 The public vocabularies here have no unigram probabilities, so a piece's score is the log frequency that its rank has
 under Zipf's law; user-defined scores can be given instead.
 
 Cases: null and empty texts have no pre-tokens and no tokens. Ties between splits of equal score go to fewer pieces.
-Repeated rows are counted alike.
+Repeated rows are counted alike. A text of any length is counted whole, and a pre-token of any length goes through the
+trie, one node a character. Further columns never matter, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +31,6 @@ from pyspark.sql import functions as F
 from kifu_spark.session import expect_long_texts
 
 MOST_NODES = 1_200_000
-LONG_WORD = 200
 MARK = "▁"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: What str.split() takes for white space besides blank and the controls 9 to 13.
@@ -55,8 +55,7 @@ def zipf_scores(path: str) -> dict[str, float]:
 class Trie:
     """The trie of inserted pre-tokens: a node for each prefix, with its forward score and the pieces of its best split.
 
-    Nodes are found by their prefix; a pre-token's own node holds its count. Pre-tokens longer than ``LONG_WORD`` get
-    the same recurrence over a list of their own and leave no nodes.
+    A node is found by its parent's number and its character; ``known`` holds the count of each whole pre-token.
     """
 
     def __init__(self, scores: dict[str, float], most_nodes: int = MOST_NODES):
@@ -71,15 +70,10 @@ class Trie:
 
     def clear(self) -> None:
         """Only the node of the mark alone."""
-        self.node: dict[str, int] = {}
-        self.forward, self.pieces = array("d"), array("L")
+        self.node: dict[int, int] = {}
+        self.known: dict[str, int] = {}
         score, pieces = self._best(MARK, 1, lambda n: (0.0, 0))
-        self._add("", score, pieces)
-
-    def _add(self, prefix: str, score: float, pieces: int) -> None:
-        self.node[prefix] = len(self.forward)
-        self.forward.append(score)
-        self.pieces.append(pieces)
+        self.forward, self.pieces = array("d", [score]), array("L", [pieces])
 
     def _best(self, text: str, end: int, at) -> tuple[float, int]:
         """The best (score, pieces) of text[:end]; at gives those of a shorter prefix by its length."""
@@ -102,37 +96,42 @@ class Trie:
                     best, least = score, pieces + 1
         return best, least
 
-    def insert(self, word: str) -> int:
-        """Tokens of one pre-token."""
-        text = MARK + word
-        if len(text) > LONG_WORD:
-            own = [(0.0, 0)]
-            for end in range(1, len(text) + 1):
-                own.append(self._best(text, end, own.__getitem__))
-            return own[-1][1]
-        if len(self.node) > self.most_nodes:
-            self.clear()
-        node, forward, pieces, known = self.node, self.forward, self.pieces, len(word)
-        while word[:known] not in node:
-            known -= 1
+    def _grow(self, word: str) -> int:
+        """Insert one pre-token and give its count."""
+        text, at_node, forward, pieces = MARK + word, 0, self.forward, self.pieces
+        path = [0]  # the nodes of the prefixes, from the mark on
 
         def at(n: int) -> tuple[float, int]:
-            if not n:
-                return 0.0, 0
-            i = node[word[: n - 1]]
-            return forward[i], pieces[i]
+            return (forward[path[n - 1]], pieces[path[n - 1]]) if n else (0.0, 0)
+
+        for end, char in enumerate(word, 2):
+            key = at_node << 21 | ord(char)
+            found = self.node.get(key)
+            if found is None:
+                score, count = self._best(text, end, at)
+                found = self.node[key] = len(forward)
+                forward.append(score)
+                pieces.append(count)
+            path.append(found)
+            at_node = found
+        self.known[word] = pieces[at_node]
+        return pieces[at_node]
 
-        for end in range(known + 1, len(word) + 1):
-            self._add(word[:end], *self._best(text, end + 1, at))
-        return pieces[node[word]]
+    def insert(self, word: str) -> int:
+        """Tokens of one pre-token."""
+        return self.tokens([word])
 
     def tokens(self, words: list[str]) -> int:
         """Tokens of all pre-tokens of a text."""
-        total = 0
-        for word in words:
-            i = self.node.get(word)
-            total += self.insert(word) if i is None else self.pieces[i]
-        return total
+        try:
+            return sum(map(self.known.__getitem__, words))
+        except KeyError:
+            if len(self.forward) > self.most_nodes:
+                self.clear()
+            for word in dict.fromkeys(words):
+                if word not in self.known:
+                    self._grow(word)
+            return sum(map(self.known.__getitem__, words))
 
 
 def pre_tokens(text: str | None) -> list[str]:
