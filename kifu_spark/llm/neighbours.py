@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,9 +66,9 @@ def codes(vectors: np.ndarray) -> np.ndarray:
     return np.hstack([scale.view(np.uint8), np.rint(vectors / scale).astype(np.int8).view(np.uint8)])
 
 
-def decoded(found: pd.Series) -> np.ndarray:
+def decoded(found: pa.ChunkedArray) -> np.ndarray:
     """The vectors of codes, all of one length."""
-    table = np.frombuffer(b"".join(found), np.uint8).reshape(len(found), -1)
+    table = np.frombuffer(b"".join(found.to_pylist()), np.uint8).reshape(len(found), -1)
     return np.ascontiguousarray(table[:, 4:]).view(np.int8).astype(np.float32) * np.ascontiguousarray(table[:, :4]).view("<f4")
 
 
@@ -132,18 +133,19 @@ def ranked(keyed: DataFrame, curves: int) -> DataFrame:
     )
 
 
-def _best(data: pd.DataFrame, asked: pd.DataFrame, count: int) -> pd.DataFrame:
+def _best(data: pa.Table, asked: pa.Table, count: int) -> pa.Table:
     """The best candidates of one range for one chunk of queries, by their codes."""
-    out = []
+    queries, reps, nears = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
     if len(data) and len(asked):
-        x, q, ids = decoded(data["code"]), decoded(asked["code"]), data["rep"].to_numpy()
+        x, q, ids, mine = decoded(data["code"]), decoded(asked["code"]), data["rep"].to_numpy(), asked["rep"].to_numpy()
         some = min(count, len(ids))
         for at in range(0, len(q), 512):
             scores = q[at : at + 512] @ x.T
             near = np.argpartition(scores, -some, axis=1)[:, -some:]
-            queries = np.repeat(asked["rep"].to_numpy()[at : at + 512], some)
-            out.append(pd.DataFrame({"query": queries, "rep": ids[near].ravel(), "near": np.take_along_axis(scores, near, 1).ravel()}))
-    return pd.concat(out) if out else pd.DataFrame({"query": [], "rep": [], "near": []})
+            queries.append(np.repeat(mine[at : at + 512], some))
+            reps.append(ids[near].ravel())
+            nears.append(np.take_along_axis(scores, near, 1).ravel().astype(np.float64))
+    return pa.table({"query": np.concatenate(queries), "rep": np.concatenate(reps), "near": np.concatenate(nears)})
 
 
 def _cosine(a: Column, b: Column) -> Column:
@@ -195,7 +197,7 @@ def nearest(
     found = (
         held.groupBy(*by)
         .cogroup(sent.groupBy(*by))
-        .applyInPandas(lambda a, b: _best(a, b, most), "query long, rep long, near double")
+        .applyInArrow(lambda a, b: _best(a, b, most), "query long, rep long, near double")
         .groupBy("query", "rep")
         .agg(F.max("near").alias("near"))
     )
