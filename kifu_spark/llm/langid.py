@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 from kifu_spark.session import expect_long_texts, stored
 
-ROWS_PER_LANG = 1000
+ROWS_PER_LANG = 600
 LONGEST_GRAM = 4
 #: Unseen words whose evidence a worker keeps; forgetting them changes no score.
-WORDS_KEPT = 120_000
+WORDS_KEPT = 50_000
 UNDETERMINED = "und"
 _WORD = regex.compile(r"\p{L}+")
 
@@ -106,8 +106,8 @@ class Scorer:
             self._reset()
         fresh = [word for word in dict.fromkeys(words) if word not in self.rows]
         last = self.used + len(fresh)
-        while last > len(self.table):
-            self.table = np.vstack([self.table, np.zeros_like(self.table)])
+        if last > len(self.table):
+            self.table = np.vstack([self.table, np.zeros((last - len(self.table) + 16384, len(self.model.langs)))])
         self.table[self.used : last] = self.model.backoff(fresh)
         self.rows.update(zip(fresh, range(self.used, last)))
         self.used = last
