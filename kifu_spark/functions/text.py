@@ -29,6 +29,28 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def quoted(text: Column) -> Column:
+    """A literal in single quotes, in double ones where only single quotes occur in it; line ends, tabs and backslashes escaped."""
+    body = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for plain, escape in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        body = F.replace(body, F.lit(plain), F.lit(escape))
+    double = text.contains("'") & ~text.contains('"')
+    single = F.concat(F.lit("'"), F.replace(body, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    return F.when(double, F.concat(F.lit('"'), body, F.lit('"'))).otherwise(single)
+
+
+def unquoted(literal: Column) -> Column:
+    """The text of a quoted literal: its outer quotes go, and escapes of quotes, backslashes, line ends and tabs are undone."""
+    parts = F.split(F.substring(literal, F.lit(2), F.length(literal) - 2), r"\\\\")  # between escaped backslashes no escape spans two parts
+
+    def undone(part: Column) -> Column:
+        for escape, plain in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\'", "'"), ('\\"', '"')):
+            part = F.replace(part, F.lit(escape), F.lit(plain))
+        return part
+
+    return F.array_join(F.transform(parts, undone), "\\")
+
+
 def parsed_or_damaged(line: Column, schema: str) -> Column:
     """struct<value, damaged>: a JSON line under a schema; one that does not parse has no value and is marked."""
     parsed = F.from_json(line, f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})

@@ -119,10 +119,30 @@ def exclusive_quartile(value: str, i: int) -> Column:
 
 
 def linear_percentile(value: str, q: float) -> Column:
-    """The linearly interpolated percentile, over the rows themselves."""
+    """The linearly interpolated percentile as a plain aggregate, which holds a group's distinct values: for small groups."""
     return F.percentile(value, q)
 
 
+def linear_index(value: str, q: float) -> Column:
+    """Aggregate over value_counts: the linearly interpolated percentile, at q * (n - 1)."""
+    at = F.lit(q) * (F.col("total") - 1)
+    low, high = at_index(value, F.floor(at)), at_index(value, F.least(F.floor(at) + 1, F.col("total") - 1))
+    return low.cast("double") + (high - low).cast("double") * F.max(at - F.floor(at))
+
+
+def linear_percentiles(df: DataFrame, groups: list[str], value: str, named: dict[str, float]) -> DataFrame:
+    """groups and, by name, exact interpolated percentiles of the values that are not null."""
+    return value_counts(df, groups, value).groupBy(*groups).agg(*[linear_index(value, q).alias(name) for name, q in named.items()])
+
+
+def with_percentiles(sums: DataFrame, df: DataFrame, groups: list[str], value: str, named: dict[str, float]) -> DataFrame:
+    """sums, one row a group, with df's percentiles beside them; null groups match, groups without values get nulls."""
+    found = linear_percentiles(df, groups, value, named)
+    other = found.select(*[F.col(c).alias(f"__r_{c}") if c in groups else F.col(c) for c in found.columns])
+    same = [F.col(g).eqNullSafe(F.col(f"__r_{g}")) for g in groups]
+    return sums.join(other, same, "left").drop(*[f"__r_{g}" for g in groups])
+
+
 def top_by_group(df: DataFrame, groups: list[str], order: list[Column], n: int, out: str = "nth") -> DataFrame:
     """The first n rows of each group in a total order; the engine limits groups before it shuffles them."""
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*groups).orderBy(*order))).filter(F.col(out) <= n)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kifu_spark.operators.ranking import rank_before, running_before, seeded_key
+from kifu_spark.operators.ranking import SLICE_DIGITS, rank_before, running_before, seeded_key
 from kifu_spark.registry import query
 from kifu_spark.sources.tables import table
 
@@ -71,13 +71,18 @@ SHUFFLED_SQL = f"""WITH k AS (SELECT *, md5({ROW_TEXT}) AS key FROM lineitem), s
 SHARD_ROWS = 4096
 
 
-def _shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items in one global random order: a key of the seed and the whole row, and the place it gives."""
+def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with the key of their random order, of the seed and the whole row."""
     lines = table(spark, sf_dir, "lineitem")
     cents = lambda c: F.round(F.col(c) * 100, 0).cast("long")
     day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date"))
     key = seeded_key(7, *map(F.col, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]), cents("l_quantity"), cents("l_extendedprice"), day)
-    return rank_before(lines.withColumn("key", key), "key", "pos")
+    return lines.withColumn("key", key)
+
+
+def _shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items in one global random order: the key and the place it gives."""
+    return rank_before(_keyed(spark, sf_dir), "key", "pos")
 
 
 @query(f"{SHUFFLED_SQL} SELECT key, pos, l_orderkey, l_linenumber FROM sh")
@@ -98,19 +103,27 @@ def shard_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{SHUFFLED_SQL}, a AS (SELECT l_orderkey = lag(l_orderkey) OVER (ORDER BY pos) AS same FROM sh) SELECT count(*) AS pairs, count(*) FILTER (same) AS adjacent FROM a WHERE same IS NOT NULL")
 def adjacency_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often neighbours in the shuffle come from one order: a join of places, not one long window."""
-    rows = _shuffled(spark, sf_dir).select("pos", "l_orderkey")
-    after = rows.select((F.col("pos") - 1).alias("pos"), F.col("l_orderkey").alias("next"))
-    return rows.join(after, "pos").agg(F.count("*").alias("pairs"), F.count_if(F.col("l_orderkey") == F.col("next")).alias("adjacent"))
+    """How often neighbours in the shuffle come from one order: inside slices of the key, and at the slices' edges."""
+    rows = _keyed(spark, sf_dir).select(F.substring("key", 1, SLICE_DIGITS).alias("slice"), "key", "l_orderkey")
+    inside = Window.partitionBy("slice").orderBy("key")
+    within = rows.withColumn("before", F.lag("l_orderkey").over(inside)).filter("before is not null")
+    edges = rows.groupBy("slice").agg(F.min_by("l_orderkey", "key").alias("l_orderkey"), F.max_by("l_orderkey", "key").alias("last"))
+    across = edges.withColumn("before", F.lag("last").over(Window.orderBy("slice"))).filter("before is not null")  # 4096 rows at most
+    pairs = within.select("l_orderkey", "before").unionByName(across.select("l_orderkey", "before"))
+    return pairs.agg(F.count("*").alias("pairs"), F.count_if(F.col("l_orderkey") == F.col("before")).alias("adjacent"))
 
 
 @query(f"{SHUFFLED_SQL}, n AS (SELECT count(*) AS n FROM sh) SELECT (pos - (n - 10)) % n + CASE WHEN pos < n - 10 THEN n ELSE 0 END AS at, l_orderkey, l_linenumber FROM sh, n WHERE (pos - (n - 10) + n) % n < 20")
 def stream_slice_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty rows of the endless stream from ten before its end: it goes on at the start."""
-    rows = _shuffled(spark, sf_dir)
+    rows = _keyed(spark, sf_dir).withColumn("slice", F.substring("key", 1, SLICE_DIGITS))
+    upto = F.sum("here").over(Window.orderBy("slice"))  # one row for each slice, 4096 at most
+    totals = rows.groupBy("slice").agg(F.count("*").alias("here")).withColumn("first", upto - F.col("here"))
     n = table(spark, sf_dir, "lineitem").count()
-    at = F.pmod(F.col("pos") - (n - 10), F.lit(n))
-    return rows.withColumn("at", at).filter("at < 20").select("at", "l_orderkey", "l_linenumber")
+    ends = totals.filter((F.col("first") < 10) | (F.col("first") + F.col("here") > n - 10))  # only these slices are ranked
+    nth = F.row_number().over(Window.partitionBy("slice").orderBy("key"))
+    at = F.pmod(F.col("first") + nth - 1 - (n - 10), F.lit(n))
+    return rows.join(F.broadcast(ends), "slice").withColumn("at", at).filter("at < 20").select("at", "l_orderkey", "l_linenumber")
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kifu_spark.operators.ordered import carried, gap_count_batches, in_order, loss_to_next, ordered_list, padded_size, prefixes, request_pairs, session_number
-from kifu_spark.operators.ranking import linear_percentile, top_by_group
+from kifu_spark.operators.ranking import top_by_group, with_percentiles
 from kifu_spark.registry import query
 from kifu_spark.sources.tables import table
 
@@ -51,14 +51,14 @@ def move_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         "user_id", "value", "rate", F.lead("rate").over(w).alias("after"), F.struct("ts", "event_id").alias("at")
     )
     loss = F.col("rate") - F.col("after")
-    return rows.groupBy("user_id").agg(
+    sums = rows.groupBy("user_id").agg(
         F.count("*").alias("n_annotated"),
         F.round(F.min_by("rate", "at"), 9).alias("first_rate"),
-        F.round(linear_percentile("value", 0.1), 6).alias("value_p10"),
-        F.round(linear_percentile("value", 0.5), 6).alias("value_median"),
         F.count_if((F.col("rate") < 0.1) | (F.col("rate") > 0.9)).alias("n_decided"),
         *[F.count_if(loss > t / 100).alias(f"n_over{t:02d}") for t in (5, 10, 20)],
     )
+    named = {"value_p10": 0.1, "value_median": 0.5}
+    return with_percentiles(sums, rows, ["user_id"], "value", named).withColumns({name: F.round(name, 6) for name in named})
 
 
 @query(

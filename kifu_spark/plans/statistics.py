@@ -17,9 +17,10 @@ from kifu_spark.sources.tables import table
     round(quantile_cont(l_extendedprice, 0.9), 6) AS p90 FROM lineitem GROUP BY ALL"""
 )
 def percentile_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(
-        *[F.round(ranking.linear_percentile("l_extendedprice", q), 6).alias(f"p{round(100 * q)}") for q in (0.1, 0.5, 0.9)]
-    )
+    """Interpolated percentiles, exact, by ranks inside slices of a group's range."""
+    named = {f"p{round(100 * q)}": q for q in (0.1, 0.5, 0.9)}
+    found = ranking.linear_percentiles(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", named)
+    return found.select("l_returnflag", "l_linestatus", *[F.round(name, 6).alias(name) for name in named])
 
 
 @query(
@@ -63,9 +64,10 @@ def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latency_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count, median, lower-index p90 and maximum of the time since the user's event before."""
     gaps = _gaps(spark, sf_dir)
-    p90 = ranking.value_counts(gaps, ["event_type"], "ms").groupBy("event_type").agg(ranking.lower_index("ms", 0.9).alias("p90"))
-    rest = gaps.groupBy("event_type").agg(F.count("ms").alias("n"), F.round(F.percentile("ms", 0.5), 3).alias("median"), F.max("ms").alias("longest"))
-    return rest.join(F.broadcast(p90), "event_type").select("event_type", "n", "median", "p90", "longest")
+    by_kind = ranking.value_counts(gaps, ["event_type"], "ms").groupBy("event_type")
+    ranked = by_kind.agg(F.round(ranking.linear_index("ms", 0.5), 3).alias("median"), ranking.lower_index("ms", 0.9).alias("p90"))
+    rest = gaps.groupBy("event_type").agg(F.count("ms").alias("n"), F.max("ms").alias("longest"))
+    return rest.join(ranked, "event_type").select("event_type", "n", "median", "p90", "longest")
 
 
 @query(f"WITH g AS ({GAPS_SQL}) SELECT ((nth - 1) // 20)::INTEGER AS stage, count(ms) AS n, round(avg(ms), 3) AS mean_ms FROM g GROUP BY ALL")
@@ -111,9 +113,9 @@ def opponents_having(spark: SparkSession, sf_dir: str) -> DataFrame:
 def losses_by_handicap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Medians and means over the lost rows, by a small key."""
     lost = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'")
-    return lost.groupBy("l_linenumber").agg(
-        F.count("*").alias("n"), F.round(F.median("l_quantity"), 6).alias("median_quantity"), F.round(F.avg("l_discount"), 6).alias("mean_discount")
-    )
+    medians = ranking.linear_percentiles(lost, ["l_linenumber"], "l_quantity", {"middle": 0.5})
+    means = lost.groupBy("l_linenumber").agg(F.count("*").alias("n"), F.round(F.avg("l_discount"), 6).alias("mean_discount"))
+    return means.join(medians, "l_linenumber").select("l_linenumber", "n", F.round("middle", 6).alias("median_quantity"), "mean_discount")
 
 
 PAIRS_SQL = """SELECT w.n_name AS winner, l.n_name AS loser FROM lineitem
@@ -197,9 +199,10 @@ def points_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = in_order(["user_id"], ["ts", "event_id"])
     lost = table(spark, sf_dir, "events").select("user_id", (F.col("value") - F.lead("value").over(w)).alias("lost")).filter("lost is not null")
     clipped = F.greatest(F.col("lost"), F.lit(0.0))
-    return lost.groupBy("user_id").agg(
-        F.count("*").alias("n"), F.round(F.avg(clipped), 6).alias("mean_lost"), F.round(F.median(clipped), 6).alias("median_lost"), F.count_if(F.col("lost") >= 5).alias("big")
-    )
+    lost = lost.withColumn("clipped", clipped)
+    sums = lost.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.avg("clipped"), 6).alias("mean_lost"), F.count_if(F.col("lost") >= 5).alias("big"))
+    found = ranking.with_percentiles(sums, lost, ["user_id"], "clipped", {"middle": 0.5})
+    return found.select("user_id", "n", "mean_lost", F.round("middle", 6).alias("median_lost"), "big")
 
 
 @query(

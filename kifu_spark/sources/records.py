@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kifu_spark.functions.text import parsed_or_damaged
+from kifu_spark.functions.text import parsed_or_damaged, unquoted
 
 KEEP_LIST = "path string, n_moves int, gtype string"
 
@@ -41,6 +41,11 @@ def pools(manifest: DataFrame, komi: tuple[float, float] = (5.5, 7.5), winrate:
     return manifest.filter(fit).withColumn("pool", pool).filter("pool is not null").withColumn("path", F.translate("path", "\\", "/"))
 
 
+def selection_pools(manifest: DataFrame) -> DataFrame:
+    """The pools at the ranges that a selection takes where none are given: komi 5 to 9, first win rate 0.3 to 0.7."""
+    return pools(manifest, (5.0, 9.0), (0.3, 0.7))
+
+
 def write_keep_lists(rows: DataFrame, path: str) -> None:
     """Tab-separated lists, one folder a split; refuses to overwrite."""
     rows.select("split", "path", "n_moves", "gtype").write.partitionBy("split").option("sep", "\t").csv(path, mode="errorifexists")
@@ -55,26 +60,42 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     """line_no, ts, pid, direction, text of a protocol log: whole files, so that lines keep their numbers."""
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     lines = files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
-    pattern = r"^(\S+) pid=(\S+) ([<>]) '(.*)'\s*$"
+    pattern = r"""^(\S+) pid=(\S+) ([<>]) ('.*'|".*")\s*$"""
     part = lambda i: F.regexp_extract("line", pattern, i)
     return lines.filter(F.col("line").rlike(pattern)).select(
-        "file", "line_no", part(1).try_cast("timestamp_ntz").alias("ts"), part(2).alias("pid"), part(3).alias("direction"), part(4).alias("text")
+        "file", "line_no", part(1).try_cast("timestamp_ntz").alias("ts"), part(2).alias("pid"), part(3).alias("direction"), unquoted(part(4)).alias("text")
     )
 
 
 def exchanges(log: DataFrame) -> DataFrame:
-    """Commands with their replies, by process: a command that another follows before a reply is dropped."""
+    """Commands with their replies, by process; a command that another follows, or the log's end, has a null reply.
+
+    ``raw`` is the reply as sent, with its status sign; ``done_at`` of an unanswered command is its own line.
+    """
     w = Window.partitionBy("file", "pid").orderBy("line_no")
     reply = F.lead(F.struct("direction", "text", "ts", "line_no")).over(w)
-    paired = log.withColumn("reply", reply).filter("direction = '>'")
-    answered = F.col("reply.direction") == "<"
+    paired = log.withColumn("next", reply).filter("direction = '>'").withColumn("reply", F.when(F.col("next.direction") == "<", F.col("next")))
     value = F.trim(F.regexp_replace("reply.text", "^=+", ""))
-    return paired.filter(answered).select(
-        "file", "pid", F.col("text").alias("command"), value.alias("reply"), F.col("ts").alias("sent"), F.col("reply.ts").alias("answered"), F.col("reply.line_no").alias("done_at"),
-        (F.timestamp_diff("MICROSECOND", F.col("ts"), F.col("reply.ts")) / 1000.0).alias("ms"),
+    return paired.select(
+        "file", "pid", F.col("text").alias("command"), value.alias("reply"), F.col("reply.text").alias("raw"), F.col("ts").alias("sent"), F.col("reply.ts").alias("answered"),
+        F.coalesce("reply.line_no", "line_no").alias("done_at"), (F.timestamp_diff("MICROSECOND", F.col("ts"), F.col("reply.ts")) / 1000.0).alias("ms"),
     )
 
 
+def log_summary(pairs: DataFrame, marker: str = "clear_board", over: str = "kgs-game_over", timed: str = "genmove", slow_ms: float = 5000.0) -> DataFrame:
+    """One row a log: games, games that ended, errors by command, timed commands with their slow ones, and unanswered commands."""
+    verb = F.substring_index("command", " ", 1)
+    failed = F.coalesce(F.col("raw").startswith("?"), F.lit(False))
+    by_verb = pairs.filter(failed).groupBy("file", verb.alias("verb")).agg(F.count("*").alias("n"))
+    errors = by_verb.groupBy("file").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("verb", "n")))).alias("errors"))  # one entry a command word
+    ms = F.when(verb == timed, F.col("ms"))
+    sums = pairs.groupBy("file").agg(
+        F.count_if(verb == marker).alias("games"), F.count_if(verb == over).alias("ended"), F.count(ms).alias("timed"), F.count_if(ms > slow_ms).alias("slow"),
+        F.max(ms).alias("longest_ms"), F.count_if(F.col("raw").isNull()).alias("unanswered"),
+    )
+    return sums.join(errors, "file", "left")
+
+
 def log_games(pairs: DataFrame, marker: str = "clear_board") -> DataFrame:
     """Exchanges with the game they belong to and the komi in force: games run from one marker to the next, per file.
 
@@ -92,7 +113,7 @@ def played_moves(games: DataFrame) -> DataFrame:
     one = lambda color, at: F.struct(color.alias("color"), F.upper(at).alias("vertex"))
     added = (
         F.when(play[0] == "play", F.array(one(F.upper(F.substring(play[1], 1, 1)), play[2])))
-        .when(play[0] == "genmove", F.array(one(F.upper(F.substring(play[1], 1, 1)), F.col("reply"))))
+        .when((play[0] == "genmove") & F.col("reply").isNotNull(), F.array(one(F.upper(F.substring(play[1], 1, 1)), F.col("reply"))))
         .when(play[0] == "set_free_handicap", F.transform(F.slice(play, 2, F.size(play)), lambda v: one(F.lit("B"), v)))
     )
     step = F.struct("done_at", F.coalesce(added, F.array().cast("array<struct<color:string,vertex:string>>")).alias("added"), (play[0] == "undo").alias("undo"))
@@ -134,9 +155,40 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return documents.select(F.input_file_name().alias("file"), F.explode("games").alias("game")).select("file", "game.*")
 
 
-def decided(results: DataFrame, leads: DataFrame) -> DataFrame:
-    """Results with winners by a judge's lead (positive for Black), and whether that differs from the one stated."""
+def decided(results: DataFrame, leads: DataFrame, must_answer: bool = False) -> DataFrame:
+    """Results with winners by a judge's lead (positive for Black), and whether that differs from the one stated.
+
+    A game that the judge gave no lead has nulls or, with must_answer, fails when its row is read.
+    """
     judged = results.join(leads, "sgf_file", "left")
+    if must_answer:
+        missing = F.raise_error(F.concat(F.lit("no answer for "), F.col("sgf_file"))).cast("double")
+        judged = judged.withColumn("lead", F.coalesce("lead", missing))
     color = F.when(F.col("lead") > 0, "B").when(F.col("lead").isNotNull(), "W")
     model = F.when(color == "B", F.col("black_model")).when(color == "W", F.col("white_model"))
     return judged.withColumns({"judged_color": color, "judged_model": model, "flipped": color != F.col("winner_color")})
+
+
+def write_decided(games: DataFrame, path: str) -> None:
+    """One JSON line a game, with its lead to a tenth, the judge's winner and the recorded one; refuses to overwrite."""
+    games.select(
+        "game_index", "sgf_file", "black_model", "white_model", F.round("lead", 1).alias("black_lead"), F.col("judged_model").alias("winner_model"),
+        F.col("score").alias("recorded_score"), F.col("winner_model").alias("recorded_winner_model"), "flipped",
+    ).write.json(path, mode="errorifexists")
+
+
+def write_split_shards(positions: DataFrame, path: str, features: list[str], size: int, rows_per_file: int = 4096) -> None:
+    """Packed positions (split, game, packed, action) as Parquet folders by split, with the features and board size in each row's file."""
+    described = positions.withColumns({"features": F.lit(",".join(features)), "size": F.lit(size)})
+    described.write.partitionBy("split").option("maxRecordsPerFile", rows_per_file).parquet(path, mode="errorifexists")
+    games = positions.groupBy("split", "game").agg(F.count("*").alias("positions"))
+    games.write.option("sep", "\t").option("header", True).csv(f"{path}_games", mode="errorifexists")
+
+
+def read_split_shards(spark: SparkSession, path: str, split: str) -> DataFrame:
+    """The rows of one split, after a check that all its files agree on features and board size, and that there are any."""
+    rows = spark.read.parquet(path).filter(F.col("split") == split)
+    kinds = rows.select("features", "size").distinct().limit(2).collect()
+    if len(kinds) != 1:
+        raise ValueError(f"{path}: no shards of {split}" if not kinds else f"{path}: features or board size differ")
+    return rows
