@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kifu_spark.operators.grids import COLUMN_LETTERS, SYMMETRIES, entropy, packed_bits, place_of_vertex, softmax, source_index, turned, turned_place, vertex
@@ -20,6 +20,12 @@ def _grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("grid"))
 
 
+def _mapped_back(view: Column, symmetry: int) -> Column:
+    """The board of which this is the turned view."""
+    source = source_index(symmetry, SIZE)
+    return F.transform(F.array(*[F.lit(source.index(p)) for p in range(SIZE * SIZE)]), lambda at: F.element_at(view, at + 1))
+
+
 ROTATED = "list_transform(range(0, 64), lambda j: grid[(j % 8) * 8 + 7 - j // 8 + 1])"
 
 
@@ -41,12 +47,13 @@ def symmetry_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH g AS (SELECT vec_id, {VALUES} AS grid FROM embeddings) SELECT vec_id, round(grid[1], 6) AS first, round(list_sum(grid) / 64, 6) AS mean, 8 AS views FROM g")
 def view_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All eight views mapped back and averaged: the mean over views is the board itself."""
-    # the place each view gives back to a point, composed once: forward[k][there] == point
-    forward = [source_index(k, SIZE) for k in range(SYMMETRIES)]
-    back = [[view[view.index(p)] for p in range(SIZE * SIZE)] for view in forward]
-    places = F.array(*[F.array(*[F.lit(view[p] + 1) for view in back]) for p in range(SIZE * SIZE)])
-    mean = F.transform(places, lambda at: F.aggregate(at, F.lit(0.0), lambda a, i: a + F.element_at("grid", i)) / SYMMETRIES)
-    averaged = _grids(spark, sf_dir).select("vec_id", mean.alias("mean_view"))
+    views = _grids(spark, sf_dir).select("vec_id", *[turned(F.col("grid"), k, SIZE).alias(f"view{k}") for k in range(SYMMETRIES)])
+    mean = None
+    for k in range(SYMMETRIES):
+        back = _mapped_back(F.col(f"view{k}"), k)
+        mean = back if mean is None else F.zip_with(mean, back, lambda a, b: a + b)
+    mean = F.transform(mean, lambda x: x / SYMMETRIES)
+    averaged = views.select("vec_id", mean.alias("mean_view"))
     total = F.aggregate("mean_view", F.lit(0.0), lambda a, x: a + x)
     return averaged.select("vec_id", F.round(F.col("mean_view")[0], 6).alias("first"), F.round(total / 64, 6).alias("mean"), F.lit(SYMMETRIES).alias("views"))
 
