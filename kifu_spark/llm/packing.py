@@ -19,9 +19,7 @@ from __future__ import annotations
 
 import json
 import re
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,18 +78,21 @@ class Encoder:
         self.fast = None
         if merged == sorted(merged) and usual and not file["normalizer"] and not model.get("ignore_merges"):
             ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in self.special}
-            self.fast = tiktoken.Encoding("byte-level", pat_str=_PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
+            special = {token: vocab.get(token, len(vocab) + k) for k, token in enumerate(self.special)}
+            self.fast = tiktoken.Encoding("byte-level", pat_str=_PRE_TOKEN, mergeable_ranks=ranks, special_tokens=special)
 
     def ids(self, text: str) -> bytes:
-        long_run = len(text) >= LONGEST_RUN and _LONG_RUN.search(text)
-        if self.fast is None or long_run or _UNUSUAL.search(text) or any(token in text for token in self.special):
-            found = self.tokenizer.encode(text, add_special_tokens=False).ids
-        else:
-            found = self.fast.encode_ordinary(text)
-        packed = array("I", found)  # four bytes each here; turned on big-endian machines
-        if sys.byteorder == "big":
-            packed.byteswap()
-        return packed.tobytes()
+        if self.fast is not None and not (_UNUSUAL.search(text) or any(token in text for token in self.special) or has_long_run(text)):
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def has_long_run(text: str) -> bool:
+    """Whether a text has a run of white space of LONGEST_RUN characters, which two neighbours of a sparse sample would hit."""
+    if len(text) < LONGEST_RUN:
+        return False
+    sample = text[:: LONGEST_RUN // 3]
+    return any(a.isspace() and b.isspace() for a, b in zip(sample, sample[1:])) and _LONG_RUN.search(text) is not None
 
 
 def encoder(path: str) -> Encoder:
