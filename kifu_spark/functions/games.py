@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kifu_spark.operators.ranking import top_by_group
+
 # Rulesets by the names that logs and reports use.
 RULE_NAMES = {"japanese": "Japanese", "chinese": "Chinese", "korean": "Korean", "aga": "AGA", "new_zealand": "New Zealand"}
 CONTESTED_LOW, CONTESTED_HIGH = 0.3, 0.9
@@ -105,3 +107,37 @@ def joined_replies(asked: DataFrame, replies: DataFrame) -> DataFrame:
 def record_text(header: Column, line: Column) -> Column:
     """A record written from its header properties and its moves (structs of color and point)."""
     return F.concat(F.lit("(;"), header, F.array_join(F.transform(line, lambda m: F.concat(F.lit(";"), m["color"], F.lit("["), m["point"], F.lit("]"))), ""), F.lit(")"))
+
+
+def tactics_set(
+    drops: DataFrame, replies: DataFrame, keys: list[str], lost: str, per_game: int = 2, tolerance: float = 3.0, most_accepted: int = 5, least_visits: int = 5
+) -> DataFrame:
+    """Positions where a game was given away and few moves were right: keys, turn, lost, played, accepted, nth.
+
+    `drops` has keys, turn, lost and played; twice `per_game` of each game are looked at, the largest first, ties to the
+    earlier turn. `replies` has keys, turn, move, visits and lead, as seen by the side to move. Accepted are the moves
+    within the tolerance of the best; a position without replies, with more of them, or where the played move is one
+    of them does not count. The first `per_game` that count stay.
+    """
+    looked = top_by_group(drops, keys, [F.desc(lost), F.col("turn")], 2 * per_game, "by_loss")
+    seen = replies.filter((F.col("visits") >= least_visits) & F.col("lead").isNotNull() & (F.col("move") != "pass"))
+    answers = seen.join(looked.select(*keys, "turn"), [*keys, "turn"], "left_semi").groupBy(*keys, "turn").agg(F.collect_list(F.struct("lead", "move")).alias("answers"))
+    best = F.array_max("answers")["lead"]
+    accepted = F.array_sort(F.transform(F.filter("answers", lambda a: a["lead"] >= best - tolerance), lambda a: a["move"]))
+    judged = looked.join(answers, [*keys, "turn"]).withColumn("accepted", accepted)
+    fit = judged.filter((F.size("accepted") <= most_accepted) & ~F.coalesce(F.array_contains("accepted", F.col("played")), F.lit(False)))
+    return top_by_group(fit, keys, [F.col("by_loss")], per_game).select(*keys, "turn", lost, "played", "accepted", "nth")
+
+
+def scored_tactics(positions: DataFrame, policy: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, turn, top_right, best_rank: whether a policy's first move is accepted, and the rank of the first that is.
+
+    `policy` has keys, turn, move and share, each move once; ties in share go to the smaller move. Without a policy for
+    a position top_right is false; without an accepted move in it best_rank is null.
+    """
+    asked = positions.select(*keys, "turn", "accepted")
+    moves = policy.join(asked.select(*keys, "turn"), [*keys, "turn"], "left_semi")
+    order = moves.groupBy(*keys, "turn").agg(F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("less"), "move")))["move"].alias("order"))
+    place = F.array_min(F.filter(F.transform("accepted", lambda m: F.array_position("order", m)), lambda at: at > 0))
+    ranked = asked.join(order, [*keys, "turn"], "left").withColumn("best_rank", place)
+    return ranked.select(*keys, "turn", F.coalesce(F.col("best_rank") == 1, F.lit(False)).alias("top_right"), "best_rank")

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kifu_spark.session import cut
+
 
 def pair_tally(games: DataFrame, winner: str, loser: str) -> DataFrame:
     """winner, loser, wins."""
@@ -45,9 +47,41 @@ def fit_ratings(pairs: list[tuple[str, str, float]], prior: float = 0.5, rounds:
 
 
 def ratings(spark: SparkSession, tally: DataFrame, most_pairs: int = 1_000_000) -> DataFrame:
-    """model, rating from pair tallies. The tally has one row for each pair of models; its size is checked."""
-    pairs = tally.select("winner", "loser", F.col("wins").cast("double")).limit(most_pairs + 1).collect()
+    """model, rating from pair tallies of one row for each ordered pair; pairs with a null model are left out.
+
+    The fit of up to `most_pairs` rows is a bounded model and runs on the driver; a larger one runs in Spark.
+    """
+    named = tally.select("winner", "loser", F.col("wins").cast("double")).dropna(subset=["winner", "loser"])
+    pairs = named.limit(most_pairs + 1).collect()
     if len(pairs) > most_pairs:
-        raise ValueError(f"more than {most_pairs} pairs of models")
+        return ratings_of_many(named)
     rows = sorted(fit_ratings([tuple(p) for p in pairs]).items())
     return spark.createDataFrame(rows, "model string, rating double")
+
+
+def ratings_of_many(tally: DataFrame, prior: float = 0.5, rounds: int = 1_000, tolerance: float = 1e-6, rounds_a_cut: int = 4) -> DataFrame:
+    """model, rating as `fit_ratings` has them, each step a join and a sum over the pairs.
+
+    Steps do not change when all strengths are scaled, so they are scaled once, at the end. Every few steps the
+    strengths, one row a model, are cut off in the shared checkpoint folder; only the largest change comes to the driver.
+    """
+    one_way = tally.filter("winner <> loser").select(F.col("winner").alias("model"), F.col("loser").alias("other"), "wins", F.lit(0.0).alias("lost"))
+    other_way = one_way.select(F.col("other").alias("model"), F.col("model").alias("other"), F.lit(0.0).alias("wins"), F.col("wins").alias("lost"))
+    sides = one_way.union(other_way).groupBy("model", "other").agg((F.sum("wins") + prior).alias("won"), (F.sum("wins") + F.sum("lost") + 2 * prior).alias("games"))
+    sides = cut(sides)
+    strength = cut(sides.groupBy("model").agg(F.sum("won").alias("won")).withColumn("strength", F.lit(1.0)))
+    games = sides.drop("won")
+    for _ in range(0, rounds, rounds_a_cut):
+        for _ in range(rounds_a_cut):
+            theirs = strength.select(F.col("model").alias("other"), F.col("strength").alias("theirs"))
+            part = F.col("games") / (F.col("strength") + F.col("theirs"))
+            load = games.join(theirs, "other").join(strength, "model").groupBy("model", "won", "strength").agg(F.sum(part).alias("load"))
+            strength = load.select("model", "won", (F.col("won") / F.col("load")).alias("strength"), F.col("strength").alias("former"))
+        strength = cut(strength)
+        moved = strength.agg(F.max(F.abs(F.col("strength") / F.col("former") - 1))).first()[0]
+        strength = strength.drop("former")
+        if moved is None or moved < tolerance:
+            break
+    points = strength.select("model", (400 * F.log10("strength")).alias("points"))
+    weakest = points.agg(F.min("points").alias("weakest"))
+    return points.join(F.broadcast(weakest)).select("model", (F.col("points") - F.col("weakest")).alias("rating"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kifu_spark.functions import trees
+from kifu_spark.functions.games import scored_tactics, tactics_set
 from kifu_spark.functions.text import escaped, quoted, unquoted
 from kifu_spark.operators import ranking
 from kifu_spark.operators.grids import SYMMETRIES, packed_bits, source_index
@@ -261,3 +262,43 @@ def date_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     stamp = F.when(F.pmod("o_orderkey", F.lit(5)) == 0, F.concat(F.substring(day, 1, 7), F.lit("-31"))).otherwise(F.concat(day, F.lit("T10:00")))
     rows = table(spark, sf_dir, "orders").select(stamp.alias("stamp"))
     return rows.groupBy(F.substring("stamp", 1, 7).alias("month")).agg(F.count("*").alias("n"), F.count(F.substring("stamp", 1, 10).try_cast("date")).alias("valid"))
+
+
+TACTICS_SQL = """WITH m AS (SELECT o_custkey, o_orderkey, l_partkey::VARCHAR AS move, sum(l_quantity) AS visits, max(l_extendedprice) AS lead, max(l_discount) AS share
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+    l AS (SELECT o_orderkey, min(move) AS played FROM m GROUP BY o_orderkey),
+    d AS (SELECT o_custkey, o_orderkey, o_totalprice AS lost, played, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS by_loss
+      FROM orders JOIN l USING (o_orderkey)),
+    b AS (SELECT o_orderkey, move, lead, max(lead) OVER (PARTITION BY o_orderkey) AS best FROM m WHERE visits >= 5),
+    a AS (SELECT o_orderkey, list(move ORDER BY move) AS accepted FROM b WHERE lead >= best - 20000 GROUP BY o_orderkey),
+    f AS (SELECT d.*, accepted, row_number() OVER (PARTITION BY o_custkey ORDER BY by_loss) AS nth FROM d JOIN a USING (o_orderkey)
+      WHERE by_loss <= 4 AND len(accepted) <= 5 AND NOT list_contains(accepted, played)),
+    k AS (SELECT * FROM f WHERE nth <= 2)"""
+
+
+def _tactics(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers as games, orders as turns and parts as moves: the set, and the moves with visits, lead and share."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("turn"), F.col("o_totalprice").alias("lost"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("turn"), F.col("l_partkey").cast("string").alias("move"))
+    moves = lines.agg(F.sum("l_quantity").alias("visits"), F.max("l_extendedprice").alias("lead"), F.max("l_discount").alias("share"))
+    moves = moves.join(orders.select("o_custkey", "turn"), "turn")
+    drops = orders.join(moves.groupBy("turn").agg(F.min("move").alias("played")), "turn")
+    return tactics_set(drops, moves, ["o_custkey"], "lost", tolerance=20000.0), moves
+
+
+@query(f"{TACTICS_SQL} SELECT o_custkey, o_orderkey, lost, played, array_to_string(accepted, ',') AS accepted, nth FROM k")
+def tactics_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two positions a game where much was lost and few moves were right."""
+    positions, _ = _tactics(spark, sf_dir)
+    return positions.select("o_custkey", F.col("turn").alias("o_orderkey"), "lost", "played", F.array_join("accepted", ",").alias("accepted"), "nth")
+
+
+@query(
+    f"""{TACTICS_SQL}, p AS (SELECT o_orderkey, list(move ORDER BY share DESC, move) AS tried FROM m GROUP BY o_orderkey),
+    r AS (SELECT o_orderkey, list_min(list_transform(accepted, lambda x: list_position(tried, x))) AS best_rank FROM k JOIN p USING (o_orderkey))
+    SELECT o_orderkey, best_rank = 1 AS top_right, best_rank::BIGINT AS best_rank FROM r"""
+)
+def tactics_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How a policy, here the discounts, does on those positions."""
+    positions, moves = _tactics(spark, sf_dir)
+    return scored_tactics(positions, moves, ["o_custkey"]).select(F.col("turn").alias("o_orderkey"), "top_right", "best_rank")

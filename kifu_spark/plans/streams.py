@@ -32,3 +32,33 @@ def stream_ingest_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stream.stream_table(spark, sf_dir, "events")
     twice = rows.union(stream.stream_table(spark, sf_dir, "events"))
     return stream.run_to_end(stream.first_seen(twice, "event_id")).select("event_id", "user_id", "event_type")
+
+
+@query(
+    """WITH r AS (SELECT l_orderkey, min(l_shipdate) AS replied FROM lineitem GROUP BY l_orderkey),
+    q AS (SELECT o_orderkey, min(o_orderdate) AS asked FROM orders GROUP BY o_orderkey)
+    SELECT coalesce(o_orderkey, l_orderkey) AS request, asked, replied, CASE WHEN asked IS NULL THEN 'unasked' WHEN replied IS NULL THEN 'waiting'
+      WHEN replied <= asked + INTERVAL 30 DAY THEN 'answered' ELSE 'timed out' END AS outcome FROM q FULL JOIN r ON o_orderkey = l_orderkey"""
+)
+def stream_waiters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as requests and shipments as replies, with a timeout of 30 days."""
+    asked = stream.stream_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request"), F.col("o_orderdate").alias("at"))
+    replied = stream.stream_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("request"), F.col("l_shipdate").alias("at"))
+    return stream.run_to_end(stream.waiters(asked, replied, "request", "at", F.expr("INTERVAL '30' DAY")), "update", ["request"])
+
+
+@query(
+    """SELECT unnest(['quantity_in_range', 'discount_in_range', 'price_is_positive']) AS name, count(*) AS n, unnest([
+      count(*) FILTER (NOT coalesce(l_quantity BETWEEN 5 AND 50, FALSE)), count(*) FILTER (NOT coalesce(l_discount BETWEEN 0 AND 0.08, FALSE)),
+      count(*) FILTER (NOT coalesce(l_extendedprice > 0, FALSE))]) AS failed FROM lineitem"""
+)
+def stream_quality_tap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and failures of each check, from the run log of a stream over line items."""
+    checks = {
+        "quantity_in_range": F.col("l_quantity").between(5, 50),
+        "discount_in_range": F.col("l_discount").between(0, 0.08),
+        "price_is_positive": F.col("l_extendedprice") > 0,
+    }
+    _, log = stream.run_tapped(stream.stream_table(spark, sf_dir, "lineitem"), checks)
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.col("rows").alias("n"), F.col(name).alias("failed")) for name in checks]))
+    return log.select(each.alias("c")).groupBy("c.name").agg(F.sum("c.n").alias("n"), F.sum("c.failed").alias("failed"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from kifu_spark.operators.ordered import in_order, session_number
@@ -69,3 +69,42 @@ def first_seen(rows: DataFrame, key: str, late: str | None = None) -> DataFrame:
     Without a watermark every key stays as state.
     """
     return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]) if late else rows.dropDuplicates([key])
+
+
+def waiters(requests: DataFrame, replies: DataFrame, key: str, at: str, timeout: Column) -> DataFrame:
+    """key, asked, replied, outcome: what became of each request, from a stream of requests and one of replies.
+
+    State is a row for each key with its first request and first reply, in whatever order the two come. A request is
+    answered if its reply came before the timeout ran out, timed out if it came later, waiting if it has not come; a
+    reply without a request is unasked. Rows without a key or a time are left out. Runs in update mode.
+    """
+    asked = requests.select(key, F.col(at).alias("asked"), F.lit(None).cast(requests.schema[at].dataType).alias("replied"))
+    replied = replies.select(key, F.lit(None).cast(requests.schema[at].dataType).alias("asked"), F.col(at).alias("replied"))
+    known = asked.union(replied).filter(F.col(key).isNotNull() & F.coalesce("asked", "replied").isNotNull())
+    first = known.groupBy(key).agg(F.min("asked").alias("asked"), F.min("replied").alias("replied"))
+    outcome = (
+        F.when(F.col("asked").isNull(), "unasked").when(F.col("replied").isNull(), "waiting").when(F.col("replied") <= F.col("asked") + timeout, "answered").otherwise("timed out")
+    )
+    return first.withColumn("outcome", outcome)
+
+
+def run_tapped(stream: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """Run a stream over all that is there; its rows, and a run log of batch_id, rows and, for each check, the rows that fail it.
+
+    A row fails a check that is false or null. The counts are observed while a micro-batch is written, not read again,
+    and logged as one JSON line a batch in a folder of its own, so that a repeated batch replaces its line.
+    """
+    spark = stream.sparkSession
+    base = f"{checkpoint_dir(spark)}/tap-{uuid.uuid4().hex}"
+    counts = [F.count(F.lit(1)).alias("rows"), *[F.count_if(~F.coalesce(ok, F.lit(False))).alias(name) for name, ok in checks.items()]]
+    fields = "batch_id long, rows long" + "".join(f", `{name}` long" for name in checks)
+
+    def write(batch: DataFrame, number: int) -> None:
+        seen = Observation(f"tap-{uuid.uuid4().hex}")
+        batch.observe(seen, *counts).write.mode("overwrite").parquet(f"{base}/out/batch={number:09d}")
+        line = (number, seen.get["rows"], *[seen.get[name] for name in checks])
+        spark.createDataFrame([line], fields).coalesce(1).write.mode("overwrite").json(f"{base}/log/batch={number:09d}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out/*"), spark.read.schema(fields).json(f"{base}/log/*")
