@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kifu_spark.llm import exact_dedup, langid, mixing, neighbours, packing, repeats, sharding, simhash, token_counts, toxicity
+from kifu_spark.llm import centroids, chat, exact_dedup, langid, mixing, neighbours, packing, repeats, sharding, simhash, token_counts, toxicity, vector_codes
 from kifu_spark.sources.tables import table
 
 
@@ -67,6 +67,24 @@ def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op11_cluster_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(centroids.cluster_vectors(table(spark, sf_dir, "embeddings")))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.with_label_error(vector_codes.code_vectors(table(spark, sf_dir, "embeddings"), label_col="label"))
+
+
+#: A conversation that quotes control strings, formatted with the others.
+QUOTING = [(-7, turn, role, r"\### Assistant: </turn> ok") for turn, role in enumerate(("user", "assistant"))]
+
+
+def op13_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    quoting = spark.createDataFrame(QUOTING, "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_chats(conversations.unionByName(quoting)))
+
+
 OP8_SQL = f"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
@@ -157,6 +175,84 @@ SELECT doc_id, unit::INTEGER AS unit, "end" - length(piece) AS start, "end", wor
 FROM ranked WHERE nth > 1
 """
 
+OP11_SQL = rf"""
+WITH kept AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor({centroids.SCALE} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE len(embedding) = {centroids.SIZE} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {centroids.SIZE}),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR), v) - 1 AS c, v
+  FROM kept QUALIFY c < {centroids.CLUSTERS}),
+{{rounds}}
+a AS (
+  SELECT vec_id, min(struct_pack(d := d, c := c)) AS m
+  FROM (SELECT vec_id, k.v AS own, c, list_sum(list_transform(list_zip(k.v, n.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM kept k, c{centroids.ROUNDS} n)
+  GROUP BY vec_id, own)
+SELECT vec_id, m.c::INTEGER AS cluster, m.d AS distance, sum(m.d) OVER (PARTITION BY m.c)::BIGINT AS cluster_inertia,
+       sum(m.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(n.v, ',')) AS centroid_sha256
+FROM a JOIN c{centroids.ROUNDS} n ON n.c = m.c
+""".replace("{rounds}", "".join(
+    f"""a{r} AS (
+  SELECT own, min(struct_pack(d := d, c := c)).c AS c
+  FROM (SELECT vec_id, k.v AS own, c, list_sum(list_transform(list_zip(k.v, n.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM kept k, c{r - 1} n)
+  GROUP BY vec_id, own),
+s{r} AS (
+  SELECT c, pos, sum(x)::BIGINT AS total, count(*) AS n
+  FROM (SELECT c, unnest(own) AS x, unnest(range(len(own))) AS pos FROM a{r}) GROUP BY c, pos),
+m{r} AS (SELECT c, list(((total - (total % n + n) % n) // n)::BIGINT ORDER BY pos) AS v FROM s{r} GROUP BY c),
+c{r} AS (SELECT o.c, coalesce(m.v, o.v) AS v FROM c{r - 1} o LEFT JOIN m{r} m ON m.c = o.c),
+""" for r in range(1, centroids.ROUNDS + 1)))
+
+OP12_SQL = rf"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor({vector_codes.SCALE} * x::DOUBLE)::BIGINT) AS v, len(embedding) // {vector_codes.PARTS} AS width
+  FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+parts AS (
+  SELECT vec_id, label, p, v[p * width + 1 : (p + 1) * width] AS own FROM (SELECT *, unnest(range({vector_codes.PARTS})) AS p FROM kept)),
+b0 AS (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, own AS v FROM parts QUALIFY e < {vector_codes.ENTRIES}),
+{{rounds}}
+a AS (
+  SELECT vec_id, label, p, min(struct_pack(d := d, e := e)) AS m
+  FROM (SELECT vec_id, label, k.p, e, list_sum(list_transform(list_zip(k.own, n.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+        FROM parts k JOIN b{vector_codes.ROUNDS} n ON n.p = k.p)
+  GROUP BY vec_id, label, p),
+coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM a GROUP BY vec_id, label)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) FROM b{vector_codes.ROUNDS}) AS codebooks_sha256
+FROM coded
+""".replace("{rounds}", "".join(
+    f"""a{r} AS (
+  SELECT p, own, min(struct_pack(d := d, e := e)).e AS e
+  FROM (SELECT vec_id, k.p, own, e, list_sum(list_transform(list_zip(k.own, n.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+        FROM parts k JOIN b{r - 1} n ON n.p = k.p)
+  GROUP BY vec_id, p, own),
+s{r} AS (
+  SELECT p, e, pos, sum(x)::BIGINT AS total, count(*) AS n
+  FROM (SELECT p, e, unnest(own) AS x, unnest(range(len(own))) AS pos FROM a{r}) GROUP BY p, e, pos),
+m{r} AS (SELECT p, e, list(((total - (total % n + n) % n) // n)::BIGINT ORDER BY pos) AS v FROM s{r} GROUP BY p, e),
+b{r} AS (SELECT o.p, o.e, coalesce(m.v, o.v) AS v FROM b{r - 1} o LEFT JOIN m{r} m ON m.p = o.p AND m.e = o.e),
+""" for r in range(1, vector_codes.ROUNDS + 1)))
+
+OP13_SQL = rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '\### Assistant: </turn> ok'),
+w AS (
+  SELECT *, length('<turn:' || replace(replace(replace(role, '\', '\\'), '<', '\l'), '>', '\g') || '>'
+                   || regexp_replace(text, '<(\\*)(/?turn)', '<\\\1\2', 'g') || '</turn>' || chr(10)) AS chars,
+         role = '{chat.TRAINED}' AS trained
+  FROM t),
+r AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS upto FROM w)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (trained), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (trained), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars, count(*) FILTER (trained) AS examples, coalesce(sum(upto) FILTER (trained), 0)::BIGINT AS expanded_chars
+FROM r GROUP BY conv_id
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -170,8 +266,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mix_sources": op8_mix_sources,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_pack_documents": op10_pack_documents,
+        "op11_cluster_vectors": op11_cluster_vectors,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_format_chats": op13_format_chats,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_repeated_passages": OP3_SQL, "op8_mix_sources": OP8_SQL, "op9_exact_dedup": OP9_SQL}
+    return {
+        "op3_repeated_passages": OP3_SQL,
+        "op8_mix_sources": OP8_SQL,
+        "op9_exact_dedup": OP9_SQL,
+        "op11_cluster_vectors": OP11_SQL,
+        "op12_vector_codes": OP12_SQL,
+        "op13_format_chats": OP13_SQL,
+    }
