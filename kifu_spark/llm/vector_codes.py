@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from kifu_spark.llm.integers import DIGITS_SCHEMA, MOST_LONG, as_longs, as_numbers, by_length, digits, floors, is_finite, squares, summed
+from kifu_spark.llm.integers import DIGITS_SCHEMA, MOST_LONG, as_longs, as_numbers, by_length, digits, floors, is_finite, summed
 from kifu_spark.llm.skew import join_counted
 from kifu_spark.session import stored
 
 SCALE, PARTS, ENTRIES, ROUNDS = 1024, 4, 256, 4
-BLOCK, STEP = 256, 16
+BLOCK, STEP = 1024, 16
 
 #: Codebooks of one length: by part and entry, integer components.
 Books = list[list[list[int]]]
@@ -50,6 +50,7 @@ class SortedBook:
 
     sums: np.ndarray
     entries: np.ndarray
+    squares: np.ndarray
     order: np.ndarray
 
     @classmethod
@@ -57,23 +58,26 @@ class SortedBook:
         numbers = as_numbers(book, size)
         sums = numbers.sum(axis=1)
         order = np.argsort(sums, kind="stable")
-        return cls(sums[order], numbers[order], order)
+        return cls(sums[order], numbers[order], (numbers * numbers).sum(axis=1)[order], order)
 
 
 def nearest_entries(parts: np.ndarray, book: SortedBook) -> tuple[np.ndarray, np.ndarray, int]:
     """Index and exact squared distance of each part's nearest entry, and how many distances were computed."""
     kind = object if object in (parts.dtype, book.entries.dtype) else np.float64
     best, chosen = np.full(len(parts), np.inf, dtype=kind), np.full(len(parts), len(book.order))
-    sums, dims, compared = parts.sum(axis=1), max(parts.shape[1], 1), 0
+    sums, own, dims, compared = parts.sum(axis=1), (parts * parts).sum(axis=1), max(parts.shape[1], 1), 0
     by_sum = np.argsort(sums, kind="stable")
 
     def look(rows: np.ndarray, low: int, high: int) -> None:
         nonlocal compared
         compared += len(rows) * (high - low)
-        found = squares(parts[rows, None, :], book.entries[None, low:high, :])
+        # products of ordinary integers stay exact, so this is the squared distance to the last digit
+        found = own[rows, None] - 2 * (parts[rows] @ book.entries[low:high].T) + book.squares[low:high]
         least = found.min(axis=1)
-        index = np.where(found == least[:, None], book.order[low:high], len(book.order)).min(axis=1)
-        better = ((least < best[rows]) | ((least == best[rows]) & (index < chosen[rows]))).astype(bool)
+        near = np.flatnonzero((least <= best[rows]).astype(bool))
+        rows, least = rows[near], least[near]
+        index = np.where(found[near] == least[:, None], book.order[low:high], len(book.order)).min(axis=1)
+        better = ((least < best[rows]) | (index < chosen[rows])).astype(bool)
         best[rows[better]], chosen[rows[better]] = least[better], index[better]
 
     for at in range(0, len(parts), BLOCK):
