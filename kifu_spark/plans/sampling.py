@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kifu_spark.operators.ranking import SLICE_DIGITS, rank_before, running_before, seeded_key
 from kifu_spark.registry import query
+from kifu_spark.session import checkpoint_dir
+from kifu_spark.sources.shards import open_shards, write_shards
 from kifu_spark.sources.tables import table
 
 SEED = 20260922
@@ -156,3 +160,40 @@ def split_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = _split(spark, sf_dir).select("o_orderkey", "split")
     several = split.groupBy("o_orderkey").agg(F.count_distinct("split").alias("kinds"))
     return split.join(several, "o_orderkey").groupBy("split").agg(F.count("*").alias("n"), F.count_if(F.col("kinds") > 1).alias("shared"))
+
+
+def _stored_shards(spark: SparkSession, sf_dir: str) -> str:
+    """Line items written as shards by position, in a folder of their own."""
+    path = f"{checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}"
+    rows = _keyed(spark, sf_dir).select(F.lit("all").alias("split"), "key", "l_orderkey", "l_linenumber")
+    write_shards(rows, path, "key", ["orderkey", "linenumber"], [2], 7, SHARD_ROWS)
+    return path
+
+
+@query(f"{SHUFFLED_SQL}, n AS (SELECT count(*) AS n FROM sh) SELECT CASE WHEN pos < n - 10 THEN pos + n ELSE pos END AS at, pos, l_orderkey, l_linenumber FROM sh, n WHERE (pos - (n - 10) + n) % n < 20")
+def shard_store_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty places around the end of the stream, read from stored shards: only the first and the last shard are opened."""
+    store = open_shards(spark, _stored_shards(spark, sf_dir), "all")
+    return store.read(store.total - 10, 20).select("at", "pos", "l_orderkey", "l_linenumber")
+
+
+@query(
+    f"""{SHUFFLED_SQL}, c AS (SELECT greatest(1, ceil(count(*) / {SHARD_ROWS}))::BIGINT AS shards FROM sh)
+    SELECT (('0x' || key[1:8])::BIGINT * shards // 4294967296)::INTEGER AS shard, min(pos) AS first, count(*) AS rows, sum(l_linenumber)::BIGINT AS labels FROM sh, c GROUP BY ALL"""
+)
+def shard_store_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of the stored shards, with what each shard's own rows say beside it."""
+    path = _stored_shards(spark, sf_dir)
+    told = open_shards(spark, path, "all").table.select("shard", "first", "rows")
+    rows = spark.read.parquet(f"{path}/rows").groupBy("shard").agg(F.min("pos").alias("first"), F.count("*").alias("rows"), F.sum("l_linenumber").cast("long").alias("labels"))
+    return told.join(rows, ["shard", "first", "rows"])
+
+
+@query(
+    f"""{SHUFFLED_SQL} SELECT pos, l_orderkey, l_linenumber, ('0x' || substr(md5('5|' || pos), 1, 8))::BIGINT % 8 AS view FROM sh WHERE pos < 512"""
+)
+def validation_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 512 places, each with its seeded view: a validation set that is the same at every reading."""
+    store = open_shards(spark, _stored_shards(spark, sf_dir), "all")
+    view = F.conv(F.substring(seeded_key(5, F.col("pos")), 1, 8), 16, 10).cast("long") % 8
+    return store.first(512).select("pos", "l_orderkey", "l_linenumber", view.alias("view"))
