@@ -51,6 +51,18 @@ def tumbling_counts(events: DataFrame, length: str, late: str | None = None) ->
     return counted.select("event_type", F.col("window.start").alias("began"), "n", "total")
 
 
+def sliding_counts(events: DataFrame, length: str, slide: str) -> DataFrame:
+    """event_type, began, n by overlapping windows; a window is written once the watermark has passed its end."""
+    counted = events.groupBy(F.window("ts", length, slide), "event_type").agg(F.count("*").alias("n"))
+    return counted.select("event_type", F.col("window.start").alias("began"), "n")
+
+
+def pause_sessions(events: DataFrame, key: str, pause: str) -> DataFrame:
+    """key, began, ended, n: sessions that end after a pause, by the engine's own session windows, which merge as rows come."""
+    counted = events.groupBy(F.session_window("ts", pause), key).agg(F.count("*").alias("n"))
+    return counted.select(key, F.col("session_window.start").alias("began"), F.col("session_window.end").alias("ended"), "n")
+
+
 def marker_sessions(events: DataFrame, marker: str = "signup") -> DataFrame:
     """user_id, session, n, errors: sessions from one marker to the next, over all rows that a stream has taken in.
 

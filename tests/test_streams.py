@@ -27,7 +27,7 @@ def long_table(spark, sf_dir, tmp_path_factory):
     return str(base)
 
 
-@pytest.mark.parametrize("name", ["stream_ingest_once", "stream_sessions", "stream_tumbling_counts"])
+@pytest.mark.parametrize("name", ["stream_ingest_once", "stream_sessions", "stream_tumbling_counts", "stream_gap_count_batches", "stream_pause_sessions"])
 def test_late_files_count(spark, long_table, tmp_path, name):
     sql = catalog.oracle_sql()[name].replace("FROM events", f"FROM read_parquet('{long_table}/events.parquet/*.parquet')")
     assert spark_rows(catalog.queries()[name](spark, long_table)) == duck_rows(sql, str(tmp_path))
