@@ -56,6 +56,23 @@ def prefixes(steps: Column, longest: int) -> Column:
     )
 
 
+def prefix_keys(steps: Column, longest: int) -> Column:
+    """array<struct<len, key>>: of every prefix up to a length a key of fixed size, by one fold over the steps.
+
+    A key is two 64-bit hashes, each of the key before it and the step (and whether it is null), so a sequence of n steps
+    takes n keys and not n texts. Two different prefixes share a key with a chance of 2^-128.
+    """
+    one = lambda seed, before, step: F.xxhash64(F.lit(seed), before, step.isNull(), step)
+    start = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.array().cast("array<struct<len:int,key:struct<a:bigint,b:bigint>>>").alias("out"))
+
+    def longer(state: Column, step: Column) -> Column:
+        a, b = one(1, state["a"], step), one(2, state["b"], step)
+        entry = F.struct((F.size(state["out"]) + 1).alias("len"), F.struct(a.alias("a"), b.alias("b")).alias("key"))
+        return F.struct(a.alias("a"), b.alias("b"), F.array_append(state["out"], entry).alias("out"))
+
+    return F.aggregate(F.slice(steps, 1, longest), start, longer, lambda state: state["out"])
+
+
 def ordered_list(order: list[str], value: str) -> Column:
     """Aggregate: the values of a group in order."""
     return F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("__v")))), lambda x: x["__v"])

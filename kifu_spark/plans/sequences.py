@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kifu_spark.operators.ordered import carried, gap_count_batches, in_order, loss_to_next, ordered_list, padded_size, prefixes, request_pairs, session_number
+from kifu_spark.operators.ordered import carried, gap_count_batches, in_order, loss_to_next, ordered_list, padded_size, prefix_keys, prefixes, request_pairs, session_number
 from kifu_spark.operators.ranking import top_by_group, with_percentiles
 from kifu_spark.registry import query
 from kifu_spark.sources.tables import table
@@ -321,3 +321,36 @@ def capped_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twice the wanted number by size, then the first of those that pass a test."""
     first = top_by_group(table(spark, sf_dir, "orders"), ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 6)
     return top_by_group(first.filter("o_orderstatus <> 'P'"), ["o_custkey"], [F.col("nth")], 3, "kept").select("o_custkey", "o_orderkey", "kept")
+
+
+LONG = 300
+LONG_SQL = f"""WITH s AS (SELECT user_id, list(event_type ORDER BY ts, event_id)[1:{LONG}] AS steps FROM events GROUP BY ALL),
+    p AS (SELECT user_id, unnest(range(1, len(steps) + 1)) AS len, steps FROM s), k AS (SELECT user_id, len, md5(array_to_string(steps[1:len], ' ')) AS key, steps[len + 1] AS reply FROM p)"""
+
+
+def _long_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user_id, len, key and reply (the step after it) of each user's prefixes of up to 300 steps."""
+    firsts = top_by_group(table(spark, sf_dir, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], LONG)
+    lines = firsts.groupBy("user_id").agg(ordered_list(["ts", "event_id"], "event_type").alias("steps"))
+    opened = lines.select("user_id", "steps", F.explode(prefix_keys(F.col("steps"), LONG)).alias("p"))
+    return opened.select("user_id", "p.len", "p.key", F.get("steps", F.col("p.len")).alias("reply"))
+
+
+@query(f"{LONG_SQL}, f AS (SELECT *, min(user_id) OVER (PARTITION BY key) AS first FROM k) SELECT user_id, max(len)::INTEGER AS shared FROM f WHERE first < user_id GROUP BY ALL HAVING max(len) >= 2")
+def longest_shared_opening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest opening of up to 300 steps that an earlier sequence shares, by keys of fixed size."""
+    opened = _long_prefixes(spark, sf_dir)
+    earliest = opened.groupBy("key").agg(F.min("user_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    return opened.join(earliest, "key").filter("first < user_id").groupBy("user_id").agg(F.max("len").alias("shared")).filter("shared >= 2")
+
+
+@query(
+    f"""{LONG_SQL} SELECT len::INTEGER AS len, min(user_id) AS first_user, count(*) AS n, count(reply) AS replied, count(DISTINCT reply) AS replies
+    FROM k GROUP BY len, key HAVING count(*) >= 2"""
+)
+def repeated_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Openings of up to 300 steps that occur more than once, how often a step follows, and how many different ones do."""
+    counted = _long_prefixes(spark, sf_dir).groupBy("len", "key").agg(
+        F.min("user_id").alias("first_user"), F.count("*").alias("n"), F.count("reply").alias("replied"), F.count_distinct("reply").alias("replies")
+    )
+    return counted.filter("n >= 2").select("len", "first_user", "n", "replied", "replies")

@@ -22,7 +22,7 @@ def read_records(spark: SparkSession, root: str, glob: str = "*.sgf") -> DataFra
     return files.select("path", F.decode("content", "ISO-8859-1").alias("text"), F.col("length").alias("bytes"))
 
 
-def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_manifest(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """A JSON-lines manifest (plain or gzip) as struct ``value`` and ``damaged``; blank lines are no rows."""
     lines = spark.read.text(path).filter(F.trim("value") != "")
     return lines.select(parsed_or_damaged(F.col("value"), schema).alias("row")).select("row.*")

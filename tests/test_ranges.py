@@ -19,3 +19,32 @@ def test_walk_order_has_no_window_by_a_head_of_the_key(spark, sf_dir):
 
     plan = walk_order(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "substring(walk" not in plan and "head" not in plan
+
+
+def test_one_far_value_moves_no_edge(spark):
+    """A hundred thousand values below one and one of 1e9: slices hold about as many values each, ranks stay exact."""
+    from pyspark.sql import functions as F
+
+    from kifu_spark.operators import ranking
+
+    df = spark.range(100_000).select(F.when(F.col("id") == 0, F.lit(1e9)).otherwise(F.col("id") / 100_000).alias("v"))
+    edges = df.agg(ranking._splitters("v", 256).alias("e")).select(F.explode("e").alias("e"))
+    values = df.join(F.broadcast(edges.agg(F.collect_list("e").alias("edges")))).withColumn("slice", F.size(F.filter("edges", lambda e: e < F.col("v"))))
+    sizes = [r["count"] for r in values.groupBy("slice").count().collect()]
+    assert len(sizes) > 200 and max(sizes) < 3 * 100_000 / 256
+    row = ranking.value_counts(df, [], "v").agg(ranking.lower_index("v", 0.5).alias("mid"), ranking.lower_index("v", 1.0).alias("top"), F.max("upto").alias("n")).first()
+    assert (row.mid, row.top, row.n) == (0.5, 1e9, 100_000)
+
+
+def test_prefix_keys_are_those_of_the_steps(spark):
+    from pyspark.sql import functions as F
+
+    from kifu_spark.operators.ordered import prefix_keys
+
+    rows = [(1, ["a", "b", None, "c"]), (2, ["a", "b", None, "d"]), (3, ["ab"]), (4, []), (5, ["b", "a"]), (6, ["a", "b", "", "c"])]
+    df = spark.createDataFrame(rows, "id int, steps array<string>").select("id", "steps", F.explode(prefix_keys(F.col("steps"), 3)).alias("p"))
+    by_key, by_prefix = {}, {}
+    for r in df.select("id", "steps", "p.len", "p.key").collect():
+        by_key.setdefault(tuple(r.key), set()).add(r.id)
+        by_prefix.setdefault(tuple(r.steps[: r.len]), set()).add(r.id)
+    assert sorted(map(sorted, by_key.values())) == sorted(map(sorted, by_prefix.values())) and len(by_key) == 7
