@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from kifu_spark.operators.ranking import top_by_group
 
-# Rulesets by the names that logs and reports use.
-RULE_NAMES = {"japanese": "Japanese", "chinese": "Chinese", "korean": "Korean", "aga": "AGA", "new_zealand": "New Zealand"}
 CONTESTED_LOW, CONTESTED_HIGH = 0.3, 0.9
 
 
@@ -33,11 +31,15 @@ def finished(winner: Column, line: Column, least: int = 50) -> Column:
     return winner.isNotNull() & (F.size(line) >= least)
 
 
-def leading_run(line: Column, color: str, most: Column) -> Column:
-    """How many moves at the start are the color's, all of ``most`` or none: handicap stones placed as moves."""
+def leading_run(line: Column, color: str, most: Column, has_setup: Column | None = None) -> Column:
+    """How many moves at the start are the color's, all of ``most`` or none: handicap stones placed as moves.
+
+    A handicap of one is no stones, and where a record sets stones up none are placed as moves.
+    """
     first = F.slice(line, F.lit(1), F.greatest(most, F.lit(1)))
-    whole = (F.size(first) == most) & F.forall(first, lambda m: (m["color"] == color) & ~m["point"].isin("", "tt"))
-    return F.when((most > 0) & whole, most).otherwise(0)
+    whole = (F.size(first) == most) & F.forall(first, lambda m: m["color"] == color)
+    placed = (most > 1) & whole & ~F.coalesce(F.lit(False) if has_setup is None else has_setup, F.lit(False))
+    return F.when(placed, most).otherwise(0)
 
 
 def last_board_turn(line: Column) -> Column:

@@ -33,8 +33,9 @@ def root_length(text: Column) -> Column:
 
 
 def property_text(text: Column, name: str) -> Column:
-    """A property's first value as written, escapes kept, blanks at the ends off; no capital stands before the name. Empty without one."""
-    return F.trim(F.regexp_extract(text, rf"(?s)(?<![A-Z]){name}\[({_INSIDE})\]", 1))
+    """A property's first value as written, escapes kept, white space at the ends off; no capital stands before the name. Empty without one."""
+    value = F.regexp_extract(text, rf"(?s)(?<![A-Z]){name}\[({_INSIDE})\]", 1)
+    return F.regexp_replace(value, r"^\s+|\s+$", "")
 
 
 def cut_off(text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kifu_spark.operators.grids import COLUMN_LETTERS, SYMMETRIES, entropy, packed_bits, place_of_vertex, softmax, source_index, turned, turned_place, vertex
+from kifu_spark.operators.planes import decode_planes, pack_planes, seeded_view
 from kifu_spark.registry import query
 from kifu_spark.sources.tables import table
 
@@ -193,3 +194,22 @@ def contested_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points whose ownership is in doubt, and those whose is not."""
     doubt = F.filter("grid", lambda x: (F.abs(x) >= 0.1) & (F.abs(x) < 0.2))
     return _grids(spark, sf_dir).select("vec_id", F.size(doubt).cast("long").alias("contested"), F.size(F.filter("grid", lambda x: F.abs(x) >= 0.2)).cast("long").alias("settled"))
+
+
+@query(
+    f"""WITH g AS (SELECT vec_id, label, ('0x' || substr(md5('5|' || vec_id), 1, 8))::BIGINT % 8 AS view,
+      list_transform({VALUES}, lambda x: (x > 0)::INT) AS b FROM embeddings),
+    p AS (SELECT vec_id, label, view, b, unnest(range(64)) AS j FROM g),
+    q AS (SELECT *, j // 8 AS r, j % 8 AS c FROM p),
+    m AS (SELECT *, CASE WHEN view >= 4 THEN 7 - c ELSE c END AS mc FROM q),
+    s AS (SELECT vec_id, label, view, b, j, CASE view % 4 WHEN 0 THEN r * 8 + mc WHEN 1 THEN mc * 8 + 7 - r WHEN 2 THEN (7 - r) * 8 + 7 - mc ELSE (7 - mc) * 8 + r END AS source FROM m)
+    SELECT vec_id, view, string_agg(b[source + 1]::VARCHAR || (1 - b[source + 1])::VARCHAR, '' ORDER BY j) AS planes, max(CASE WHEN source = label THEN j END)::INTEGER AS view_label
+    FROM s GROUP BY vec_id, label, view, b"""
+)
+def packed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boards of two planes packed to bytes, then decoded as batches, each under the view that its place gives, with its label."""
+    flags = F.flatten(F.transform("grid", lambda x: F.when(x > 0, F.array(F.lit(1), F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    packed = pack_planes(_grids(spark, sf_dir).select("vec_id", "label", flags.alias("flags")), "flags", SIZE, 2)
+    viewed = packed.withColumn("view", seeded_view(5, F.col("vec_id")))
+    decoded = decode_planes(viewed, "packed", "view", SIZE, 2, "label")
+    return decoded.select("vec_id", "view", F.array_join(F.col("planes").cast("array<string>"), "").alias("planes"), "view_label")

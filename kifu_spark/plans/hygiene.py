@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from kifu_spark.functions.classify import all_that_apply, binned, first_that_app
 from kifu_spark.operators.dedup import keep_first, walk_key
 from kifu_spark.operators.ranking import rank_in_order, top_by_group
 from kifu_spark.registry import query
+from kifu_spark.session import checkpoint_dir
+from kifu_spark.sources.manifest import ManifestSink
 from kifu_spark.sources.tables import table
 
 def reasons() -> list[tuple[str, Column]]:
@@ -172,3 +176,18 @@ def short_circuit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tested.join(F.broadcast(counts), "size_ok").select(
         "p_partkey", "size_ok", F.when(F.col("size_ok"), F.col("p_brand")).alias("brand"), F.when(F.col("size_ok"), F.round("p_retailprice", 2)).alias("price"), "of_kind"
     )
+
+
+@query(f"SELECT doc_id::VARCHAR AS path, strlen(text)::BIGINT AS bytes, {REASON_CASE} AS reason FROM documents")
+def manifest_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest of all texts in numbered batches: one is repeated, one was staged without being committed, the rest resumes."""
+    sink = ManifestSink(spark, f"{checkpoint_dir(spark)}/manifest-{uuid.uuid4().hex}")
+    schema = "path string, bytes long, reason string"
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    scan = lambda df: df.select("path", F.octet_length("text").cast("long").alias("bytes"), first_that_applies(reasons(), "kept").alias("reason"))
+    first = scan(docs.filter(F.crc32("path") % 3 == 0))
+    sink.append(0, first)
+    sink.append(0, first)  # the same batch again
+    sink._staged(first, 1)  # a run that was killed before it committed
+    sink.resume(docs, scan, schema)
+    return sink.read(schema).filter(~F.col("damaged")).select("value.path", "value.bytes", "value.reason")

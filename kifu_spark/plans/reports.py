@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from kifu_spark.functions import trees
 from kifu_spark.functions.games import scored_tactics, tactics_set
-from kifu_spark.functions.text import escaped, quoted, unquoted
+from kifu_spark.functions.text import escaped, quoted, unescaped, unquoted
 from kifu_spark.operators import ranking
 from kifu_spark.operators.grids import SYMMETRIES, packed_bits, source_index
 from kifu_spark.operators.ordered import in_order
+from kifu_spark.operators.record_trees import record_nodes
 from kifu_spark.registry import query
 from kifu_spark.sources.tables import table
 
@@ -302,3 +303,40 @@ def tactics_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How a policy, here the discounts, does on those positions."""
     positions, moves = _tactics(spark, sf_dir)
     return scored_tactics(positions, moves, ["o_custkey"]).select(F.col("turn").alias("o_orderkey"), "top_right", "best_rank")
+
+
+@query(
+    """WITH c AS (SELECT conv_id, turn, md5(coalesce(text, '')) AS said, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS t, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+    SELECT conv_id, 0 AS node, NULL::BIGINT AS parent, 0 AS depth, 1 AS branch, TRUE AS played, 3 * count(*) AS below, NULL AS said FROM c GROUP BY conv_id
+    UNION ALL SELECT conv_id, t, t - 1, t, 1, TRUE, 3 * (n - t), said FROM c
+    UNION ALL SELECT conv_id, n + 2 * (n - t) + 1, t - 1, t, 2, FALSE, 1, md5('aside ' || turn || ']') FROM c
+    UNION ALL SELECT conv_id, n + 2 * (n - t) + 2, n + 2 * (n - t) + 1, t + 1, 1, FALSE, 0, NULL FROM c"""
+)
+def record_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as records, a variation of two nodes beside every turn, and read as trees with all branches."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    comment = lambda text: F.concat(F.lit("C ["), escaped(text), F.lit("]"))
+    aside = F.concat(F.lit(")\n(;"), comment(F.concat(F.lit("aside "), F.col("turn"), F.lit("]"))), F.lit(";N[)(;])"))
+    nested = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("(;"), comment(F.col("text"))).alias("opens"), aside.alias("closes")))).alias("t"))
+    text = F.concat(
+        F.lit("a note (;GM[1]"), F.array_join(F.transform("t", lambda x: x["opens"]), ""), F.array_join(F.transform(F.reverse("t"), lambda x: x["closes"]), ""), F.lit(")")
+    )
+    nodes = record_nodes(nested.select("conv_id", text.alias("text")), "conv_id")
+    said = F.regexp_extract("properties", r"(?s)^C \[(.*)\]\s*$", 1)
+    return nodes.select(
+        "conv_id", "node", "parent", "depth", (F.col("branch") + 1).alias("branch"), "played", (F.col("last") - F.col("node")).alias("below"),
+        F.when(F.col("properties").startswith("C "), F.md5(unescaped(said))).alias("said"),
+    )
+
+
+@query(
+    """WITH r AS (SELECT doc_id, rtrim('(;SZ[19]C[' || replace(replace(coalesce(text, ''), '\\', '\\\\'), ']', '\\]') || '];B[dd];W[pq])', chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS whole FROM documents),
+    c AS (SELECT doc_id, whole, left(whole, length(whole) - length(whole) % 7) AS kept FROM r),
+    t AS (SELECT *, rtrim(kept, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS tail FROM c)
+    SELECT doc_id, length(kept) AS chars, NOT (suffix(tail, ')')) OR regexp_matches(rtrim(tail, ')'), '[BW]\\[[a-s]?$') AS cut FROM t"""
+)
+def cut_off_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of whole texts, each cut by as many characters as its length leaves by seven: which of them end too early."""
+    whole = F.concat(F.lit("(;SZ[19]C["), escaped(F.coalesce("text", F.lit(""))), F.lit("];B[dd];W[pq])"))
+    cut = table(spark, sf_dir, "documents").select("doc_id", whole.alias("whole")).withColumn("kept", F.expr("left(whole, length(whole) - length(whole) % 7)"))
+    return cut.select("doc_id", F.length("kept").cast("long").alias("chars"), trees.cut_off(F.col("kept")).alias("cut"))

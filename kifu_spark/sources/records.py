@@ -33,7 +33,7 @@ def not_yet_recorded(records: DataFrame, manifest: DataFrame, key: str = "path")
     return records.join(manifest.select(key), key, "left_anti")
 
 
-def pools(manifest: DataFrame, komi: tuple[float, float] = (5.5, 7.5), winrate: tuple[float, float] = (0.4, 0.6)) -> DataFrame:
+def pools(manifest: DataFrame, komi: tuple[float, float] = (5.0, 9.0), winrate: tuple[float, float] = (0.3, 0.7)) -> DataFrame:
     """Rows fit for training with their pool: moves, a first win rate in range, and for normal games a komi in range."""
     rate, points = F.col("first_searched_winrate").try_cast("double"), F.col("komi").try_cast("double")
     pool = F.when((F.col("gtype") == "normal") & points.between(*komi), "normal").when(F.col("gtype") == "handicap", "handicap")
@@ -43,7 +43,7 @@ def pools(manifest: DataFrame, komi: tuple[float, float] = (5.5, 7.5), winrate:
 
 def selection_pools(manifest: DataFrame) -> DataFrame:
     """The pools at the ranges that a selection takes where none are given: komi 5 to 9, first win rate 0.3 to 0.7."""
-    return pools(manifest, (5.0, 9.0), (0.3, 0.7))
+    return pools(manifest)
 
 
 def write_keep_lists(rows: DataFrame, path: str) -> None:
@@ -155,10 +155,10 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return documents.select(F.input_file_name().alias("file"), F.explode("games").alias("game")).select("file", "game.*")
 
 
-def decided(results: DataFrame, leads: DataFrame, must_answer: bool = False) -> DataFrame:
+def decided(results: DataFrame, leads: DataFrame, must_answer: bool = True) -> DataFrame:
     """Results with winners by a judge's lead (positive for Black), and whether that differs from the one stated.
 
-    A game that the judge gave no lead has nulls or, with must_answer, fails when its row is read.
+    A game that the judge gave no lead fails when its row is read or, without must_answer, has nulls.
     """
     judged = results.join(leads, "sgf_file", "left")
     if must_answer:

@@ -95,6 +95,9 @@ def test_lines(spark):
     df = spark.createDataFrame([(line, 2), (line[2:], 2)], "line array<struct<color:string,point:string>>, ha int")
     rows = df.select(games.leading_run(F.col("line"), "B", F.col("ha")).alias("run"), games.last_board_turn(F.col("line")).alias("last"), games.record_text(F.lit("SZ[19]"), F.col("line")).alias("text")).collect()
     assert [(r.run, r["last"]) for r in rows] == [(2, 3), (0, 1)] and rows[1].text == "(;SZ[19];W[dp];B[];W[tt])"
+    stones = spark.createDataFrame([(line, n, setup) for n, setup in ((0, False), (1, False), (2, False), (2, True), (3, False), (2, None))], "line array<struct<color:string,point:string>>, ha int, setup boolean")
+    placed = [r[0] for r in stones.select(games.leading_run(F.col("line"), "B", F.col("ha"), F.col("setup"))).collect()]
+    assert placed == [0, 0, 2, 0, 0, 2]
     pair = spark.createDataFrame([(["a", "b", "c", "d"], ["a", "b", "x", "d"])], "a array<string>, b array<string>")
     assert pair.select(games.longest_common_prefix(F.col("a"), F.col("b"))).first()[0] == 2
 

@@ -20,6 +20,7 @@ def test_first_nodes(spark):
     assert got[0] == {"KM": ["6.5"], "C": ["a]b \\ (;KM[0])"], "AB": ["aa", "bb"]} and got[1] == {"SZ": ["9"], "XKM": ["1"]}
     assert got[2] is None and got[3] == {} and got[4]["KM"] == ["7"] and len(got[4]["C"][0]) == 200_000
     assert column(spark, ["(;XKM[1]KM[ 5\\] ])", "(;B[aa])", "(;C[]])KM[2"], lambda t: trees.property_text(t, "KM")) == ["5\\]", "", ""]
+    assert column(spark, ["(;KM[\n6.5\t]", "(;RE[ \r\n]"], lambda t: trees.property_text(t, "KM")) == ["6.5", ""]
     assert column(spark, texts, trees.root_length)[0] == texts[0].index("\n") + 1
 
 
