@@ -20,7 +20,7 @@ Cases: vectors that are null, empty, zero, or hold a null or a non-finite compon
 length than the query's are never candidates; each length has orderings of its own. Ties go to the smaller identifier.
 Repeated rows (same identifier and vector) are one row. A window holds at least ``LEAST_WINDOW`` vectors, so that with
 no more of them than that all candidates are found, and with fewer than k all are returned. Very long vectors are
-searched like others. Further columns never matter, whatever their names. An empty table gives an empty result.
+searched like others, and so are components of any finite size, the smallest included. Further columns never matter, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -148,7 +148,14 @@ def _best(data: pa.Table, asked: pa.Table, count: int) -> pa.Table:
     return pa.table({"query": np.concatenate(queries), "rep": np.concatenate(reps), "near": np.concatenate(nears)})
 
 
+def _scaled(vec: Column) -> Column:
+    """vec, or where squares of its components could leave the range of a double, vec over its largest component."""
+    top = F.array_max(F.transform(vec, lambda x: F.abs(x)))
+    return F.when(top.between(1e-100, 1e100), vec).otherwise(F.transform(vec, lambda x: x / top))
+
+
 def _cosine(a: Column, b: Column) -> Column:
+    """The cosine of two scaled vectors."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
@@ -204,8 +211,8 @@ def nearest(
     short = Window.partitionBy("query").orderBy(F.desc("near"), "rep")
     candidates = found.withColumn("nth", F.row_number().over(short)).filter(F.col("nth") <= most).select("query", "rep")
     scored = (
-        candidates.join(keyed.select("rep", "ids", F.col("vec").alias("theirs")), "rep")
-        .join(keyed.filter("asked").select(F.col("rep").alias("query"), F.col("vec").alias("own")), "query")
+        candidates.join(keyed.select("rep", "ids", _scaled(F.col("vec")).alias("theirs")), "rep")
+        .join(keyed.filter("asked").select(F.col("rep").alias("query"), _scaled(F.col("vec")).alias("own")), "query")
         .select("query", "rep", "ids", _cosine(F.col("own"), F.col("theirs")).alias("score"))
     )
     best = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
