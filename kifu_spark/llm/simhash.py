@@ -121,8 +121,8 @@ def _grouped(rows: DataFrame, radius: int, shingle: int, seed: int) -> DataFrame
     firsts = cut(printed.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
     rooted = components(links(firsts.select("fp"), radius))
     linked = firsts.join(rooted, F.col("fp") == F.col("node"))
-    least = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    named = linked.join(least, "root").select(F.col("fp").alias("linked_fp"), "least_id", "root")
+    least = cut(linked.groupBy("root").agg(F.min("first_id").alias("least_id"), F.count("*").alias("prints")))
+    named = join_counted(linked, least, "root", linked.count(), "prints").select(F.col("fp").alias("linked_fp"), "least_id", "root")
     by_print = stored(
         firsts.join(named, F.col("fp") == F.col("linked_fp"), "left").select(
             "fp", "copies", F.coalesce("least_id", "first_id").alias("component_id"), F.coalesce("root", "fp").alias("group_fp")
