@@ -36,6 +36,7 @@ LONGEST_GRAM = 4
 WORDS_KEPT = 50_000
 #: Up to so many languages every count has a place; beyond, only those that are not zero. The answers are the same.
 DENSE_LANGS = 64
+TASK_GROUPS = 64
 UNDETERMINED = "und"
 _WORD = regex.compile(r"\p{L}+")
 
@@ -193,7 +194,11 @@ def sampled(known: DataFrame, rows_per_lang: int) -> DataFrame:
     """
     hashed = known.withColumn("hash", F.xxhash64("doc_id", "text"))
     by_hash = Window.partitionBy("lang").orderBy("hash")
-    few = hashed.select("lang", "hash").withColumn("nth", F.row_number().over(by_hash)).filter(F.col("nth") <= rows_per_lang)
+    # first among the rows of some tasks, so that no task meets the smallest hashes of all of them
+    by_tasks = Window.partitionBy("lang", "tasks").orderBy("hash")
+    some = hashed.select("lang", "hash", F.pmod(F.spark_partition_id(), F.lit(TASK_GROUPS)).alias("tasks"))
+    some = some.withColumn("nth", F.row_number().over(by_tasks)).filter(F.col("nth") <= rows_per_lang)
+    few = some.withColumn("nth", F.row_number().over(by_hash)).filter(F.col("nth") <= rows_per_lang)
     last = few.groupBy("lang").agg(F.max("hash").alias("last"))  # one row a language, as in the model
     near = hashed.join(F.broadcast(last), "lang").filter(F.col("hash") <= F.col("last"))
     whole = Window.partitionBy("lang").orderBy("hash", "doc_id", "text")
