@@ -21,3 +21,24 @@ def binned(value: Column, edges: list[float]) -> Column:
     text = [f"{e:g}" for e in edges]
     inside = [F.when(value < high, F.lit(f"{a}-{b}")) for high, a, b in zip(edges[1:], text, text[1:])]
     return F.when(value.isNotNull(), F.coalesce(F.when(value < edges[0], F.lit(f"<{text[0]}")), *inside, F.lit(f">={text[-1]}")))
+
+
+def bin_labels(edges: list[float]) -> list[str]:
+    """Names of the half-open bins between the edges, and of the two outside them."""
+    return [f"<{edges[0]}", *[f"{a}-{b}" for a, b in zip(edges, edges[1:])], f">={edges[-1]}"]
+
+
+def in_bins(value: Column, edges: list[float]) -> Column:
+    """The name of a number's bin; null stays null."""
+    at = F.coalesce(*[F.when(value < e, F.lit(name)) for e, name in zip(edges, bin_labels(edges))], F.lit(bin_labels(edges)[-1]))
+    return F.when(value.isNotNull(), at)
+
+
+def bin_counts(values: Column, edges: list[float]) -> Column:
+    """array<bigint> of how many of an array's values each bin holds, in the order of ``bin_labels``; null for a null array."""
+
+    def below(edge: float) -> Column:
+        return F.size(F.filter(values, lambda v: v < edge)).cast("long")
+
+    upto = [F.lit(0).cast("long"), *[below(e) for e in edges], F.size(F.filter(values, lambda v: v.isNotNull())).cast("long")]
+    return F.when(values.isNotNull(), F.array(*[high - low for low, high in zip(upto, upto[1:])]))

@@ -76,3 +76,27 @@ def prefix_keys(steps: Column, longest: int) -> Column:
 def ordered_list(order: list[str], value: str) -> Column:
     """Aggregate: the values of a group in order."""
     return F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("__v")))), lambda x: x["__v"])
+
+
+def plateau(epochs: Column, patience: int, cooldown: int, min_rate: float, min_delta: float = 1e-4) -> Column:
+    """struct<best, waited, cooling, cuts> after a run's epochs (structs of loss and rate, in order).
+
+    A loss counts as better by more than min_delta. After ``patience`` epochs without a better one the rate is cut, if
+    it is above min_rate, both as 32-bit numbers, and none is waited for during the cooldown. Epochs without a loss or rate
+    are passed over. An array holds one run: a run has few epochs.
+    """
+    state = lambda best, waited, cooling, cuts: F.struct(best.alias("best"), waited.alias("waited"), cooling.alias("cooling"), cuts.alias("cuts"))
+
+    def step(s: Column, e: Column) -> Column:
+        cool = F.greatest(s["cooling"] - 1, F.lit(0))
+        waited = F.when(s["cooling"] > 0, 0).otherwise(s["waited"])
+        better = e["loss"] < s["best"] - min_delta
+        late = ~better & (cool == 0)
+        cut = late & (waited + 1 >= patience) & (e["rate"].cast("float") > F.lit(min_rate).cast("float"))
+        return state(
+            F.when(better, e["loss"]).otherwise(s["best"]), F.when(better | cut, 0).when(late, waited + 1).otherwise(waited),
+            F.when(cut, cooldown).otherwise(cool), F.when(cut, s["cuts"] + 1).otherwise(s["cuts"]),
+        )
+
+    known = F.filter(epochs, lambda e: e["loss"].isNotNull() & e["rate"].isNotNull())
+    return F.aggregate(known, state(F.lit(1e300), F.lit(0), F.lit(0), F.lit(0)), step)

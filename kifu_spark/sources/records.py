@@ -12,14 +12,61 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kifu_spark.functions.text import parsed_or_damaged, unquoted
+from kifu_spark.operators.dedup import walk_key
 
 KEEP_LIST = "path string, n_moves int, gtype string"
 
 
-def read_records(spark: SparkSession, root: str, glob: str = "*.sgf") -> DataFrame:
-    """path, text, bytes of every record below a folder; every byte decodes, so each file is a row (Spark lists none of no bytes)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    return files.select("path", F.decode("content", "ISO-8859-1").alias("text"), F.col("length").alias("bytes"))
+SUFFIXES = (".sgf",)
+
+
+def any_case(suffixes: tuple[str, ...]) -> str:
+    """A file pattern of names that end in one of the suffixes, in capitals or not."""
+    cased = ["".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in s.lower()) for s in suffixes]
+    return f"*{{{','.join(cased)}}}" if len(cased) > 1 else f"*{cased[0]}"
+
+
+def _files(spark: SparkSession, roots: str | list[str], suffixes: tuple[str, ...]) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", any_case(suffixes)).load(roots)
+
+
+def read_records(spark: SparkSession, root: str | list[str], suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """path, text, bytes of every record below one or more folders, whatever the case of its suffix.
+
+    Every byte decodes, so each file is a row (Spark lists none of no bytes).
+    """
+    return _files(spark, root, suffixes).select("path", F.decode("content", "ISO-8859-1").alias("text"), F.col("length").alias("bytes"))
+
+
+def short_name(path: Column) -> Column:
+    """year/month/day/file where a path ends in these, numbers without leading zeros; else the file's name."""
+    dated = r"(?:^|[\\/])((?:19|20)\d\d)[\\/](\d+)[\\/](\d+)[\\/]([^\\/]+)$"
+    part = lambda i: F.regexp_extract(path, dated, i)
+    number = lambda i: F.regexp_replace(part(i), r"^0+(?=\d)", "")
+    return F.when(path.rlike(dated), F.concat_ws("/", part(1), number(2), number(3), part(4))).otherwise(F.regexp_extract(path, r"([^\\/]*)$", 1))
+
+
+def walk_place(path: Column, member: Column | None = None) -> Column:
+    """A key that sorts paths as a walk meets them, a folder's files before its folders; members of an archive follow one another."""
+    key = walk_key(F.split(path, "/"))
+    return key if member is None else F.concat(key, F.coalesce(F.concat(F.lit("\u0001"), member), F.lit("")))
+
+
+def read_games(spark: SparkSession, roots: str | list[str], suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """path, member, name, walk, text, error of the records in folders and in the zip archives among them.
+
+    member is null outside archives; name is the short name of the file or member; walk sorts as folders are walked. A
+    damaged archive is one row with an error and no text. Records of one name stay apart: keep the first by walk.
+    """
+    loose = read_records(spark, roots, suffixes).select("path", F.lit(None).cast("string").alias("member"), "text", F.lit(None).cast("string").alias("error"))
+    packed = read_archives(spark, roots, suffixes).select("path", F.col("name").alias("member"), "text", "error")
+    games = loose.unionByName(packed)
+    return games.select("path", "member", short_name(F.coalesce("member", "path")).alias("name"), walk_place(F.col("path"), F.col("member")).alias("walk"), "text", "error")
+
+
+def first_in_walk(records: DataFrame, most: int) -> DataFrame:
+    """The first records in the order of a walk, by their path: of each partition only so many are kept before they meet."""
+    return records.orderBy(walk_place(F.col("path"))).limit(most)
 
 
 def read_manifest(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
@@ -127,16 +174,16 @@ def played_moves(games: DataFrame) -> DataFrame:
     return steps.select("file", "game", F.aggregate("steps", empty, apply).alias("moves"))
 
 
-def read_archives(spark: SparkSession, root: str, suffix: str = ".sgf") -> DataFrame:
+def read_archives(spark: SparkSession, root: str | list[str], suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """path, name, text of every record inside the zip archives below a folder; an archive that cannot be read has one row with ``error``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(root)
+    files = _files(spark, root, (".zip",))
 
     def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                        names = [n for n in sorted(archive.namelist()) if n.lower().endswith(suffix)]
+                        names = [n for n in sorted(archive.namelist()) if n.lower().endswith(suffixes)]
                         for n in names:  # one frame a record: an archive is never held unpacked as a whole
                             yield pd.DataFrame({"path": [path], "name": [n], "text": [archive.read(n).decode("latin-1")], "error": [None]})
                 except (zipfile.BadZipFile, zlib.error, OSError) as error:
