@@ -68,3 +68,16 @@ def test_late_rows_are_dropped_and_counted(spark):
     run = run_arrivals(spark, arrivals, lambda df: stream.first_seen(df.withColumnRenamed("at", "ts"), "id", "100 seconds"))
     assert sorted(r.id for r in run.rows().collect()) == [1, 2, 4, 6]
     assert run.dropped == 2
+
+
+def test_requests_of_a_bucket_share_a_state_row(spark):
+    asked = [(k, k % 50, False) for k in range(400)]
+    replies = [(k, k % 50 + (30 if k % 3 else 70), True) for k in range(0, 400, 2)]
+    ways = {}
+    for buckets in (1, 7):
+        arrivals = parts(spark, asked, [*replies, (1000, 400, False)], [(1001, 5000, False), (1002, 5001, False)])
+        run = run_arrivals(spark, arrivals, lambda df: waiting(df.withWatermark("at", "100 seconds"), "id", "at", F.col("is_reply"), 60, 100, buckets))
+        ways[buckets] = sorted((r.id, r.outcome) for r in run.rows().collect())
+        assert max(n for p in run.progress for n, _ in p["state"]) <= buckets and run.held <= 2
+    expected = [(k, "answered" if k % 3 else "timed out") for k in range(0, 400, 2)] + [(k, "late") for k in range(0, 400, 6)]
+    assert ways[1] == ways[7] == sorted(expected + [(k, "timed out") for k in range(1, 400, 2)] + [(1000, "timed out")])
