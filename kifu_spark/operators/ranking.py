@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, DoubleType, FloatType, IntegerType, ShortType
 
 from kifu_spark.session import stored
 
@@ -72,16 +73,21 @@ def _splitters(value: str, slices: int) -> Column:
     return F.array_distinct(F.percentile_approx(value, [i / slices for i in range(1, slices)], 10 * slices))
 
 
-def value_counts(df: DataFrame, groups: list[str], value: str, slices: int = 256) -> DataFrame:
+def value_counts(df: DataFrame, groups: list[str], value: str, slices: int = 256, near: list[float] | None = None) -> DataFrame:
     """groups, value, n, upto (rows at or below the value) and total: the base of every exact percentile.
 
-    A group's distinct values are cut into slices at their approximate quantiles, so that slices hold about as many
+    With ``near``, only the values around those quantiles are given, in one more pass and next to no shuffle. Without it
+    a group's distinct values are cut into slices at their approximate quantiles, so that slices hold about as many
     whatever the values are, and one far from the others moves no edge but its own; running totals over the slices, at
-    most ``slices`` rows a group, and a window inside each slice give the exact ranks.
+    most ``slices`` rows a group, and a window inside each slice give the exact ranks. Edges are stored before they are
+    used, as approximate quantiles hang on the order in which partial results come and differ if they are made twice.
     """
     keys = [*groups, "__all"]
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("n")).withColumn("__all", F.lit(0))
-    spans = counted.groupBy(*keys).agg(_splitters(value, slices).alias("__edges"), F.sum("n").alias("total"))
+    known = df.filter(F.col(value).isNotNull())
+    if near and isinstance(df.schema[value].dataType, EXACT_IN_DOUBLE):
+        return _counts_near(known.select(*groups, value).withColumn("__all", F.lit(0)), keys, value, sorted(set(near))).select(*groups, value, "n", "upto", "total")
+    counted = known.groupBy(*groups, value).agg(F.count("*").alias("n")).withColumn("__all", F.lit(0))
+    spans = stored(counted.groupBy(*keys).agg(_splitters(value, slices).alias("__edges"), F.sum("n").alias("total")))
     below = F.size(F.filter("__edges", lambda edge: edge < F.col(value)))
     sliced = join_on_equal(counted, spans, keys).withColumn("__slice", below).drop("__edges")
     before = (
@@ -94,6 +100,43 @@ def value_counts(df: DataFrame, groups: list[str], value: str, slices: int = 256
     return placed.select(*groups, value, "n", "upto", "total")
 
 
+#: Types whose values a sketch gives back as they are.
+EXACT_IN_DOUBLE = (DoubleType, FloatType, IntegerType, ShortType, ByteType)
+#: A sketch's ranks are off by a share of 1 / SKETCH of the rows at most; brackets reach four times as far.
+SKETCH = 5000
+
+
+def _counts_near(known: DataFrame, keys: list[str], value: str, near: list[float]) -> DataFrame:
+    """keys, value, n, upto, total of the values in a bracket around each quantile, exact.
+
+    A sketch gives each bracket's ends, about 8 / SKETCH of a group's rows apart; groups of fewer than 4 x SKETCH rows are
+    one bracket. What lies between two brackets is only counted, so that a group's window holds its brackets and no more.
+    """
+    reach = 4 / SKETCH
+    at = F.percentile_approx(value, [max(q - reach, 0.0) for q in near] + [min(q + reach, 1.0) for q in near], SKETCH)
+    ends = known.groupBy(*keys).agg(at.alias("at"), F.min(value).alias("least"), F.max(value).alias("most"), F.count("*").alias("rows"))
+    whole = F.col("rows") < 4 * SKETCH
+    low = [F.when(whole | F.lit(q <= reach), F.col("least")).otherwise(F.get("at", F.lit(i))).alias(f"__low{i}") for i, q in enumerate(near)]
+    high = [F.when(whole | F.lit(q + reach >= 1), F.col("most")).otherwise(F.get("at", F.lit(len(near) + i))).alias(f"__high{i}") for i, q in enumerate(near)]
+    brackets = stored(ends.select(*keys, *low, *high))
+    # a value's place among the brackets: how many end below it, and whether it lies in the next one
+    ended = sum((F.when(F.col(f"__high{i}") < F.col(value), 1).otherwise(0) for i in range(len(near))), F.lit(0))
+    inside = F.lit(False)
+    for i in range(len(near)):
+        inside = inside | ((F.col(value) >= F.col(f"__low{i}")) & (F.col(value) <= F.col(f"__high{i}")))
+    placed = join_on_equal(known, brackets, keys).select(*keys, ended.alias("__ended"), F.when(inside, F.col(value)).alias(value))
+    counted = placed.groupBy(*keys, "__ended", value).agg(F.count("*").alias("n"))
+    # between two brackets there is one row, null, before those of the next bracket
+    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("__ended", F.col(value).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counted.withColumns({"upto": upto, "total": F.sum("n").over(Window.partitionBy(*keys))})
+    missed = F.lit(False)
+    for q in near:
+        place = F.floor(F.lit(q) * (F.col("total") - 1))
+        missed = missed | ((F.col("upto") - F.col("n") <= place + 2) & (F.col("upto") > place - 1))
+    lost = F.when(F.col(value).isNull() & missed, F.raise_error(F.lit("a sketch of quantiles is less exact than it says")).cast("boolean"))
+    return ranked.filter(F.coalesce(lost, F.col(value).isNotNull()))
+
+
 def at_index(value: str, index: Column) -> Column:
     """Aggregate over value_counts: the value at a 0-based place of the sorted rows."""
     return F.min(F.when(F.col("upto") > index, F.col(value)))
@@ -138,7 +181,7 @@ def linear_index(value: str, q: float) -> Column:
 
 def linear_percentiles(df: DataFrame, groups: list[str], value: str, named: dict[str, float]) -> DataFrame:
     """groups and, by name, exact interpolated percentiles of the values that are not null."""
-    return value_counts(df, groups, value).groupBy(*groups).agg(*[linear_index(value, q).alias(name) for name, q in named.items()])
+    return value_counts(df, groups, value, near=list(named.values())).groupBy(*groups).agg(*[linear_index(value, q).alias(name) for name, q in named.items()])
 
 
 def with_percentiles(sums: DataFrame, df: DataFrame, groups: list[str], value: str, named: dict[str, float]) -> DataFrame:

@@ -29,7 +29,7 @@ def percentile_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def percentile_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles that are always one of the values: lower index, rounded index, upper median."""
-    counts = ranking.value_counts(table(spark, sf_dir, "events"), ["event_type"], "value")
+    counts = ranking.value_counts(table(spark, sf_dir, "events"), ["event_type"], "value", near=[0.5, 0.9])
     return counts.groupBy("event_type").agg(
         ranking.lower_index("value", 0.9).alias("p90_lower"), ranking.rounded_index("value", 0.9).alias("p90_rounded"), ranking.upper_median("value").alias("median_upper")
     )
@@ -42,7 +42,7 @@ def percentile_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT o_orderpriority, i AS quartile, round(v[least(greatest(whole, 1), len(v))] + (v[least(greatest(whole + 1, 1), len(v))] - v[least(greatest(whole, 1), len(v))]) * (rest / 4.0), 6) AS value FROM q"""
 )
 def quartile_exclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = ranking.value_counts(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice")
+    counts = ranking.value_counts(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", near=[0.25, 0.5, 0.75])
     wide = counts.groupBy("o_orderpriority").agg(*[F.round(ranking.exclusive_quartile("o_totalprice", i), 6).alias(str(i)) for i in (1, 2, 3)])
     return wide.unpivot(["o_orderpriority"], ["1", "2", "3"], "quartile", "value").withColumn("quartile", F.col("quartile").cast("int"))
 
@@ -64,7 +64,7 @@ def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latency_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count, median, lower-index p90 and maximum of the time since the user's event before."""
     gaps = _gaps(spark, sf_dir)
-    by_kind = ranking.value_counts(gaps, ["event_type"], "ms").groupBy("event_type")
+    by_kind = ranking.value_counts(gaps, ["event_type"], "ms", near=[0.5, 0.9]).groupBy("event_type")
     ranked = by_kind.agg(F.round(ranking.linear_index("ms", 0.5), 3).alias("median"), ranking.lower_index("ms", 0.9).alias("p90"))
     rest = gaps.groupBy("event_type").agg(F.count("ms").alias("n"), F.max("ms").alias("longest"))
     return rest.join(ranked, "event_type").select("event_type", "n", "median", "p90", "longest")
@@ -184,7 +184,7 @@ def ratings_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kind_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy and upper median by kind and over all."""
     kinds = table(spark, sf_dir, "events").select(F.explode(F.array("event_type", F.lit("all"))).alias("kind"), "value")
-    medians = ranking.value_counts(kinds, ["kind"], "value").groupBy("kind").agg(ranking.upper_median("value").alias("upper_median"))
+    medians = ranking.value_counts(kinds, ["kind"], "value", near=[0.5]).groupBy("kind").agg(ranking.upper_median("value").alias("upper_median"))
     shares = kinds.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg((F.col("value") < 50).cast("int")), 6).alias("right_share"))
     return shares.join(medians, "kind")
 

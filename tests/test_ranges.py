@@ -48,3 +48,20 @@ def test_prefix_keys_are_those_of_the_steps(spark):
         by_key.setdefault(tuple(r.key), set()).add(r.id)
         by_prefix.setdefault(tuple(r.steps[: r.len]), set()).add(r.id)
     assert sorted(map(sorted, by_key.values())) == sorted(map(sorted, by_prefix.values())) and len(by_key) == 7
+
+
+def test_percentiles_hold_on_large_groups(spark):
+    # more distinct values than a sketch holds, in many partitions: its ends differ from run to run, ranks may not
+    n = 400_000
+    rows = spark.range(n).repartition(16).select((F.col("id") % 2).alias("g"), (F.col("id") * 7919 % n).cast("double").alias("v"))
+    rows = rows.union(spark.range(30).select(F.lit(2), F.col("id").cast("double"))).union(spark.range(3).select(F.lit(3), F.lit(None).cast("double")))
+    by_hand = {g: [float(v) for v in range(n) if v % 2 == g] for g in (0, 1)} | {2: [float(v) for v in range(30)]}
+    near = ranking.value_counts(rows, ["g"], "v", near=[0.0, 0.5, 0.9, 1.0])
+    assert near.filter("g < 2").count() < n / 20
+    for counts in (near, ranking.value_counts(rows, ["g"], "v")):
+        aggs = [ranking.lower_index("v", 0.9), ranking.upper_median("v"), ranking.linear_index("v", 0.5), ranking.lower_index("v", 0.0), ranking.lower_index("v", 1.0), F.max("total")]
+        got = {r[0]: tuple(r)[1:] for r in counts.groupBy("g").agg(*aggs).collect()}
+        for g, v in by_hand.items():
+            m = len(v)
+            assert got[g] == (v[int(0.9 * (m - 1))], v[m // 2], (v[(m - 1) // 2] + v[m // 2]) / 2, v[0], v[-1], m)
+        assert set(got) == {0, 1, 2}
