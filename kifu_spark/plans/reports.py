@@ -207,10 +207,13 @@ def round_trip_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(
         "l_linenumber", price.cast("double").alias("whole"), (price * F.col("l_tax")).cast("double").alias("decode"), (price * F.col("l_discount")).cast("double").alias("queued")
     ).withColumn("other", F.col("whole") - F.col("decode") - F.col("queued"))
-    found = rows.groupBy("l_linenumber").agg(F.count("*").alias("n"))
-    for value, name in (("whole", "total"), ("decode", "decode"), ("other", "other")):
-        found = ranking.with_percentiles(found, rows, ["l_linenumber"], value, {f"median_{name}": 0.5})
-    return found.select("l_linenumber", "n", *[F.round(f"median_{name}", 4).alias(name) for name in ("total", "decode", "other")])
+    parts = {"total": "whole", "decode": "decode", "other": "other"}
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("part"), F.col(value).alias("value")) for name, value in parts.items()]))
+    middles = ranking.linear_percentiles(rows.select("l_linenumber", each.alias("e")).select("l_linenumber", "e.*"), ["l_linenumber", "part"], "value", {"middle": 0.5})
+    wide = middles.groupBy("l_linenumber").agg(*[F.round(F.max(F.when(F.col("part") == name, F.col("middle"))), 4).alias(name) for name in parts])
+    counts = rows.groupBy("l_linenumber").agg(F.count("*").alias("n"))
+    other = wide.withColumnRenamed("l_linenumber", "number")
+    return counts.join(other, F.col("l_linenumber").eqNullSafe(F.col("number")), "left").select("l_linenumber", "n", *parts)
 
 
 COUNTERS = {
