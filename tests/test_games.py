@@ -114,3 +114,16 @@ def test_drops_and_replies(spark):
         raise AssertionError("a missing reply must fail")
     except Exception as error:
         assert "no reply for g" in str(error)
+
+
+def test_games_are_dealt_in_batches_and_not_one_by_one(spark):
+    rng = random.Random(5)
+    by_hand = {g: [(n, "BW"[n % 2], rng.randrange(-1, 19 * 19)) for n in range(1, rng.randrange(2, 60))] for g in [None, *range(300)]}
+    rows = [(g, *m) for g, game in by_hand.items() for m in game]
+    rng.shuffle(rows)
+    played = replay(spark.createDataFrame(rows, "game long, move_no int, color string, place int"), 19, rows=50)
+    assert "Pandas" not in played._jdf.queryExecution().optimizedPlan().toString()  # a call for each game took a millisecond and more
+    got = {}
+    for r in played.collect():
+        got.setdefault(r.game, []).append(tuple(r)[1:])
+    assert {g: sorted(found) for g, found in got.items()} == {g: replay_game(game, 19) for g, game in by_hand.items()}
