@@ -118,5 +118,9 @@ def cosine(step: Column, start: float, target: float, warm_steps: int, total_ste
 
 def unpacked_bits(packed: Column, size: int) -> Column:
     """The flags of hex bytes, first flag in the highest bit: the inverse of packing."""
-    byte = lambda i: F.conv(F.substring(packed, (F.floor(i / 8) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.pmod(F.floor(byte(i) / F.pow(F.lit(2), 7 - F.pmod(i, F.lit(8)))), F.lit(2)).cast("int"))
+    places = F.sequence(F.lit(0), F.lit((size + 7) // 8 - 1))
+    byte = lambda row, k: F.conv(F.substring(row, k * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    eight = lambda b: F.array(*[F.shiftright(b, 7 - i).bitwiseAND(F.lit(1)) for i in range(8)])
+    # the bytes are bound once for all flags
+    flags = F.transform(F.array(packed), lambda row: F.flatten(F.transform(F.transform(places, lambda k: byte(row, k)), eight)))[0]
+    return F.slice(flags, 1, size)

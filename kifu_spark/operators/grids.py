@@ -40,12 +40,11 @@ def turned_place(place: Column, symmetry: int, size: int) -> Column:
 
 def packed_bits(flags: Column, size: int) -> Column:
     """Hex of the flags packed to bytes, first flag in the highest bit, zero-padded at the end."""
-    byte = lambda at: F.aggregate(
-        F.slice(F.concat(flags, F.array_repeat(F.lit(0), -size % 8)), at * 8 + 1, 8), F.lit(0), lambda a, x: a * 2 + x
-    )
-    return F.array_join(
-        F.transform(F.sequence(F.lit(0), F.lit((size + 7) // 8 - 1)), lambda k: F.lpad(F.hex(byte(k)), 2, "0")), ""
-    )
+    padded = F.concat(flags, F.array_repeat(F.lit(0), -size % 8))
+    byte = lambda row, at: F.aggregate(F.slice(row, at * 8 + 1, 8), F.lit(0), lambda a, x: a * 2 + x)
+    places = F.sequence(F.lit(0), F.lit((size + 7) // 8 - 1))
+    # flags are bound once for all bytes
+    return F.transform(F.array(padded), lambda row: F.array_join(F.transform(places, lambda k: F.lpad(F.hex(byte(row, k)), 2, "0")), ""))[0]
 
 
 def vertex(place: Column, size: int) -> Column:

@@ -97,3 +97,16 @@ def test_percentiles_beside_groups_without_values(spark):
     sums = df.groupBy("k").agg(F.count("*").alias("n"))
     got = {r.k: (r.n, r.p) for r in ranking.with_percentiles(sums, df, ["k"], "v", {"p": 0.75}).collect()}
     assert got == {"a": (3, 3.0), None: (1, 3.0), "b": (1, None)}
+
+
+def test_packing_and_unpacking_take_each_row_once(spark):
+    import time
+
+    from kifu_spark.operators.grids import packed_bits
+
+    rows = spark.range(20_000).select("id", F.transform(F.sequence(F.lit(0), F.lit(60)), lambda i: F.pmod(F.xxhash64("id", i), F.lit(2)).cast("int")).alias("f")).cache()
+    assert rows.count() == 20_000
+    began = time.monotonic()
+    back = rows.select("f", trees.unpacked_bits(packed_bits(F.col("f"), 61), 61).alias("back"))
+    assert back.filter("f = back").count() == 20_000
+    assert time.monotonic() - began < 20  # all bytes were packed again for each flag
