@@ -5,16 +5,16 @@ A conversation's turns are written one after the other by a template, each betwe
     <turn:user>text</turn>
 
 Every assistant turn is an example of its own: all text before its reply is context and only the reply is trainable. An
-example therefore is a prefix of its conversation's formatted text, and is kept as offsets into it (context up to
-``loss_start``, reply up to ``loss_end``), so that a conversation of n turns takes n rows and not n squared texts.
-``expanded`` writes the examples out with their whole contexts for those who want them as texts.
+example therefore is a prefix of its conversation's formatted text, with the target from ``loss_start`` to ``loss_end``.
+Turns are stored once, with these offsets, and every example is made from them with its whole context when it is used:
+``expanded`` writes them as rows and ``read_back`` reads each of them.
 
 Control strings inside texts are escaped: ``<turn`` and ``</turn``, with any number of backslashes after ``<``, get one
 more backslash there, which reading takes away again; all other texts stay as they are. In a role, ``\\``, ``<`` and ``>``
 become ``\\\\``, ``\\l`` and ``\\g``.
 
-Rows of a conversation meet in one task, sorted outside memory, as its order is one sequence; reading streams through
-them, so that memory holds an Arrow batch and a hash, however long a conversation is.
+Rows of a conversation meet in one task, sorted outside memory, as its order is one sequence; memory holds an Arrow batch
+and the formatted text of one conversation, and the time of a conversation grows with the square of its turns.
 
 Cases: null texts and null roles count as empty. Rows are ordered by turn (nulls first), equal turns by role and text,
 and repeated rows stay. Rows without conversation identifier are one conversation. Conversations without assistant have
@@ -31,13 +31,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 TRAINED = "assistant"
 CLOSE = "</turn>\n"
 #: A lookalike of a control string in a text, for Java and Python alike.
 LOOKALIKE, ESCAPED = r"<(\\*/?turn)", r"<\\(\\*/?turn)"
-_TURN = re.compile(r"<turn:([^<>]*)>(.*)</turn>\n", re.DOTALL)
+_TURN = re.compile(r"<turn:([^<>]*)>(.*?)</turn>\n", re.DOTALL)
 _ROLE = {r"\\": "\\", r"\l": "<", r"\g": ">"}
 
 
@@ -98,6 +99,28 @@ def _columns(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     return zip(*(batch[c].to_pylist() for c in names))
 
 
+def _expansions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """conv_id, text, example, loss_start, loss_end of each example with its whole context, and at a conversation's end
+    its whole text as no example."""
+    parts: list[str] = []
+    key, length = None, 0
+    for batch in batches:
+        for conv, position, start, body, *example in _columns(batch, "conv_id", "position", "start", "body", "example", "loss_start", "loss_end"):
+            if position == 0:
+                if parts:
+                    yield key, "".join(parts), None, None, None
+                parts, key, length = [], conv, 0
+            if start != length:
+                raise ValueError("formatted turns do not follow each other")
+            parts.append(body)
+            length += len(body)
+            if example[0] is not None:
+                parts = ["".join(parts)]
+                yield key, parts[0], *example
+    if parts:
+        yield key, "".join(parts), None, None, None
+
+
 def expanded(formatted: DataFrame) -> DataFrame:
     """conv_id, example, text, loss_start, loss_end: every example with its whole context, as one text.
 
@@ -105,41 +128,48 @@ def expanded(formatted: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[str] = []
-        for batch in batches:
-            for conv, position, body, *example in _columns(batch, "conv_id", "position", "body", "example", "loss_start", "loss_end"):
-                if position == 0:
-                    parts.clear()
-                parts.append(body)
-                if example[0] is not None:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([conv], batch["conv_id"].type), pa.array(["".join(parts)]), *(pa.array([x], pa.int64()) for x in example)],
-                        ["conv_id", "text", "example", "loss_start", "loss_end"],
-                    )
-
+        for conv, text, *example in _expansions(batches):
+            if example[0] is not None:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([conv], kind), pa.array([text]), *(pa.array([x], pa.int64()) for x in example)],
+                    ["conv_id", "text", "example", "loss_start", "loss_end"],
+                )
+
+    kind = to_arrow_type(formatted.schema["conv_id"].dataType)
     out = StructType([formatted.schema["conv_id"], *StructType.fromDDL("text string, example long, loss_start long, loss_end long").fields])
     return in_order(formatted).mapInArrow(run, out)
 
 
 class Digest:
-    """What is read back of one conversation."""
+    """What is read back of one conversation's examples."""
 
     def __init__(self) -> None:
-        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.turns, self.loss, self.context = hashlib.sha256(), hashlib.sha256(), ""
         self.n_turns = self.loss_chars = self.formatted_chars = self.examples = self.expanded_chars = 0
 
-    def add(self, start: int, body: str, loss_start: int | None, loss_end: int | None) -> None:
-        if start != self.formatted_chars or not (turn := _TURN.fullmatch(body)):
-            raise ValueError("formatted turns do not follow each other")
-        self.turns.update(f"{plain_role(turn[1])}\n{plain_text(turn[2])}\n".encode("utf-8", "surrogatepass"))
-        self.n_turns += 1
-        self.formatted_chars += len(body)
-        if loss_start is not None:
-            reply = plain_text(body[loss_start - start : loss_end - start])
-            self.loss.update(reply.encode("utf-8", "surrogatepass"))
-            self.loss_chars += len(reply)
-            self.examples += 1
-            self.expanded_chars += self.formatted_chars
+    def add(self, text: str, loss_start: int, loss_end: int) -> None:
+        """An example, which goes on from the one before it: the loss mask has its target."""
+        if not text.startswith(self.context) or loss_start < len(self.context):
+            raise ValueError("an example does not hold the turns before it")
+        target = plain_text(text[loss_start:loss_end])
+        self.loss.update(target.encode("utf-8", "surrogatepass"))
+        self.loss_chars += len(target)
+        self.examples += 1
+        self.expanded_chars += len(text)
+        self.context = text
+
+    def close(self, text: str) -> None:
+        """The whole conversation."""
+        if not text.startswith(self.context):
+            raise ValueError("a conversation does not go on from its examples")
+        for turn in _TURN.finditer(text):
+            if turn.start() != self.formatted_chars:
+                break
+            self.turns.update(f"{plain_role(turn[1])}\n{plain_text(turn[2])}\n".encode("utf-8", "surrogatepass"))
+            self.n_turns += 1
+            self.formatted_chars = turn.end()
+        if self.formatted_chars != len(text):
+            raise ValueError("a conversation is not written as turns")
 
     def row(self) -> tuple:
         return self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted_chars, self.examples, self.expanded_chars
@@ -149,34 +179,33 @@ DIGEST_SCHEMA = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """By conversation, counts and digests of what the formatted turns and the examples' loss spans say.
+    """By conversation, counts and digests of what its expanded examples and its whole text say.
 
-    The turns come as ``format_chats`` or ``in_order`` leave them, one conversation in one partition.
+    The turns come as ``format_chats`` or ``in_order`` leave them, one conversation in one partition. Its examples are
+    made and read one after the other where its turns are, so that none travels; its formatted text must fit in a worker.
     """
     out = StructType([formatted.schema["conv_id"], *StructType.fromDDL(DIGEST_SCHEMA).fields])
     names, kinds = out.fieldNames(), [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    kind = to_arrow_type(formatted.schema["conv_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
-        key, own, kind = None, None, None
+        own = Digest()
 
         def taken() -> pa.RecordBatch:
             columns = list(zip(*done))
             done.clear()
             return pa.record_batch([pa.array(c, t) for c, t in zip(columns, [kind, *kinds])], names)
 
-        for batch in batches:
-            kind = batch["conv_id"].type
-            for conv, position, *turn in _columns(batch, "conv_id", "position", "start", "body", "loss_start", "loss_end"):
-                if position == 0:
-                    if own is not None:
-                        done.append((key, *own.row()))
-                    key, own = conv, Digest()
-                own.add(*turn)
+        for conv, text, example, *loss in _expansions(batches):
+            if example is not None:
+                own.add(text, *loss)
+                continue
+            own.close(text)
+            done.append((conv, *own.row()))
+            own = Digest()
             if len(done) >= 1000:
                 yield taken()
-        if own is not None:
-            done.append((key, *own.row()))
         if done:
             yield taken()
 

@@ -78,3 +78,24 @@ def test_stored_turns_read_back_in_any_order(spark, tmp_path):
     chat.format_chats(spark.createDataFrame(rows, SCHEMA)).repartition(5).write.parquet(str(tmp_path / "turns"))
     again = chat.read_back(chat.in_order(spark.read.parquet(str(tmp_path / "turns"))))
     assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in again.collect()} == by_hand(rows)
+
+
+def test_digests_are_read_from_expanded_examples(spark, monkeypatch):
+    rows = [r for r in odd_rows() if r[0] in (3, 5, 6, 102, 103)]
+    batch = chat.format_chats(spark.createDataFrame(rows, SCHEMA)).orderBy("conv_id", "position").toArrow().combine_chunks().to_batches()
+    made = list(chat._expansions(iter(batch)))
+    wanted = by_hand(rows)
+    for conv in wanted:
+        texts = [m for m in made if m[0] == conv]
+        digest = chat.Digest()
+        for _, text, _, start, end in texts[:-1]:
+            assert text[end:] == chat.CLOSE and texts[-1][1].startswith(text)
+            digest.add(text, start, end)
+        digest.close(texts[-1][1])
+        assert digest.row()[:4] == wanted[conv] and digest.row()[5] == len(texts) - 1
+    from pytest import raises
+
+    cut = chat.Digest()
+    cut.add("<turn:user>a</turn>\n<turn:assistant>b</turn>\n", 36, 37)
+    with raises(ValueError):  # an example that lost a turn of its context
+        cut.add("<turn:assistant>b</turn>\n<turn:assistant>c</turn>\n", 41, 42)
