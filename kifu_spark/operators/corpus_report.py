@@ -13,7 +13,8 @@ from kifu_spark.functions.classify import bin_labels, in_bins
 from kifu_spark.functions.games import leading_run
 from kifu_spark.functions.records import VISIT_EDGES, WEIGHT_EDGES
 from kifu_spark.functions.trees import property_text, root_properties
-from kifu_spark.operators.record_trees import played_moves, record_nodes
+from kifu_spark.operators.record_trees import played_moves, record_nodes, straight_moves
+from kifu_spark.session import stored
 
 # Fixed values of the report: edges of the bins of moves, and where counts are capped.
 MOVE_EDGES = [50, 100, 200, 300, 400, 600]
@@ -71,6 +72,7 @@ def with_shares(report: DataFrame, most: int = 12) -> DataFrame:
 
     Shares are of all records, those of visits and weights of all annotations; equal counts go by value, null first.
     """
+    report = stored(report)  # small, and read three times: a corpus must not be
     counts = report.filter("section = 'histogram'")
     base = report.filter("section = 'total' and counter in ('files', 'annotated')").agg(
         F.max(F.when(F.col("counter") == "files", F.col("n"))).alias("files"), F.max(F.when(F.col("counter") == "annotated", F.col("n"))).alias("annotated")
@@ -110,15 +112,20 @@ def account_games(records: DataFrame, prefix: str) -> DataFrame:
     on_black = F.col("side") == "B"
     of_side = lambda mine, other: F.when(on_black, prop(mine)).otherwise(prop(other))
     stones = F.try_element_at(root_properties(F.col("text")), F.lit("AB"))
-    facts = sided.select(
+    facts = lambda rows, *more: rows.select(
         "path", F.substring(prop("DT"), 1, 10).alias("date"), "side", of_side("PB", "PW").alias("account"), of_side("PW", "PB").alias("opponent"), of_side("WR", "BR").alias("opp_rank"),
         F.coalesce(prop("HA").try_cast("int"), F.lit(0)).alias("handicap"), F.coalesce(prop("KM").try_cast("double"), F.lit(0.0)).alias("komi"),
         F.coalesce(F.nullif(F.lower(prop("RU")), F.lit("")), F.lit("chinese")).alias("rules"), prop("RE").alias("result"),
-        F.coalesce(F.filter(stones, lambda p: p.rlike("^[a-s]{2}$")), F.array().cast("array<string>")).alias("setup"),
+        F.coalesce(F.filter(stones, lambda p: p.rlike("^[a-s]{2}$")), F.array().cast("array<string>")).alias("setup"), *more,
     )
-    lines = played_moves(record_nodes(sided)).withColumnRenamed("moves", "line")
-    line = F.coalesce("line", F.array().cast("array<struct<color:string,point:string>>"))
-    joined = facts.join(lines, "path", "left").withColumn("line", line).withColumns(ending(F.col("result"), F.col("side")))
+    # a record without variations is its played line; only the others take the windows over their tokens
+    straight = straight_moves(F.col("text"))
+    plain = facts(sided.withColumn("line", straight).filter("line is not null"), F.col("line"))
+    forked = sided.filter(straight.isNull())
+    lines = played_moves(record_nodes(forked)).withColumnRenamed("moves", "line")
+    none = F.array().cast("array<struct<color:string,point:string>>")
+    branched = facts(forked).join(lines, "path", "left").withColumn("line", F.coalesce("line", none))
+    joined = plain.unionByName(branched).withColumns(ending(F.col("result"), F.col("side")))
     return joined.withColumn("handicap_moves", leading_run(F.col("line"), "B", F.col("handicap"), F.size("setup") > 0))
 
 

@@ -97,6 +97,20 @@ def played_moves(nodes: DataFrame, key: str = "path") -> DataFrame:
     return line.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("left", "move"))), lambda s: s["move"]).alias("moves"))
 
 
+def straight_moves(text: Column) -> Column:
+    """The moves that ``played_moves`` gives for a record of one tree without variations, from its tokens alone; null for all others."""
+    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+
+    def of(found: Column) -> Column:
+        inner = F.slice(found, F.lit(2), F.greatest(F.size(found) - 1, F.lit(0)))
+        nodes = F.when(F.element_at(inner, -1) == ")", F.slice(inner, F.lit(1), F.size(inner) - 1)).otherwise(inner)
+        single = (F.get(found, F.lit(0)) == "(") & (F.size(inner) > 0) & ~F.exists(nodes, lambda t: t.isin("(", ")"))
+        moves = F.transform(F.slice(nodes, F.lit(2), F.greatest(F.size(nodes) - 1, F.lit(0))), lambda t: node_move(F.substring(t, F.lit(2), F.length(t))))
+        return F.when(single, F.filter(moves, lambda m: m.isNotNull()))
+
+    return F.transform(F.array(tokens), of)[0]  # the tokens are bound once
+
+
 def last_moves(nodes: DataFrame, key: str = "path") -> DataFrame:
     """key, node, branch_depth: every line's last node, with how many of its nodes lie off the played line."""
     parents = nodes.select(key, F.col("parent").alias("node")).distinct()

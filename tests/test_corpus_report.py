@@ -156,3 +156,27 @@ def test_readers_take_any_case_text_files_and_archives(spark, tmp_path):
     assert [(r.name, r.error is None) for r in rows] == [("bad.zip", False), ("2025/11/2/e.Sgf", True), ("z.sgf", True), ("2026/3/7/a.sgf", True), ("2026/3/7/b.SGF", True), ("2026/3/7/c.Txt", True)]
     assert Counter(r.path.rsplit("/", 1)[1] for r in sources.read_records(spark, str(tmp_path)).collect()) == Counter(["a.sgf", "b.SGF", "z.sgf"])
     assert [r.path.rsplit("/", 1)[1] for r in sources.first_in_walk(sources.read_records(spark, str(tmp_path)), 2).collect()] == ["z.sgf", "a.sgf"]
+
+
+def test_shares_read_the_report_once(spark):
+    entry = F.struct(F.lit("histogram").alias("section"), F.lit("size").alias("counter"), F.lit("19").alias("value"), F.lit(3).cast("long").alias("n"))
+    total = F.struct(F.lit("total").alias("section"), F.lit("files").alias("counter"), F.lit(None).cast("string").alias("value"), F.lit(3).cast("long").alias("n"))
+    made = spark.range(1).repartition(1).select(F.explode(F.array(entry, total, F.when(F.rand(1) < 0, entry))).alias("e")).filter("e is not null").select("e.*")
+    shares = report.with_shares(made, 4)
+    assert "Generate" not in shares._jdf.queryExecution().optimizedPlan().toString()  # the corpus was scanned three times
+    assert [tuple(r) for r in shares.collect()] == [("size", "19", 3, 100.0, 1, 0)]
+
+
+def test_straight_records_are_read_without_windows(spark):
+    from kifu_spark.operators.record_trees import played_moves, record_nodes, straight_moves
+
+    texts = [
+        "(;SZ[19];B[dd];W[tt]C[a;b(c)])", "(;SZ[9];B[dd]", "(;B[aa];W[])", "( ;SZ[19]\n; B[ab];C[x];W[zz];AB[aa][bb];B[cc]) tail", "()", "(", "", "no record", ";B[aa]",
+        "(;A[1];B[dd](;W[aa];B[ab])(;W[bb]))", "(;A[1];B[dd])(;A[2];B[ee])", "(;A[1];B[dd]);W[aa]", "(;A[1];B[d\\]d];W[ab];B[q", "((;A[1];B[dd]))", "(;A[1])", "(;A[1];B[dd]))",
+    ]
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, text string")
+    want = {r.path: r.moves for r in played_moves(record_nodes(rows)).collect()}
+    got = {r.path: r.moves for r in rows.select("path", straight_moves(F.col("text")).alias("moves")).collect()}
+    straight = {path: moves for path, moves in got.items() if moves is not None}
+    assert {"0", "1", "2", "3", "14"} <= set(straight) and not {"9", "10", "11", "13"} & set(straight)
+    assert all(moves == want.get(path, []) for path, moves in straight.items())
