@@ -13,7 +13,7 @@ def first_that_applies(rules: list[tuple[str, Column]], otherwise: str) -> Colum
 
 def all_that_apply(rules: list[tuple[str, Column]]) -> Column:
     """The names of all rules that hold, in order."""
-    return F.filter(F.array(*[F.when(test, F.lit(name)) for name, test in rules]), lambda x: x.isNotNull())
+    return F.array_remove(F.array(*[F.when(test, F.lit(name)).otherwise("") for name, test in rules]), "")  # no name is empty
 
 
 def binned(value: Column, edges: list[float]) -> Column:
@@ -36,9 +36,19 @@ def in_bins(value: Column, edges: list[float]) -> Column:
 
 def bin_counts(values: Column, edges: list[float]) -> Column:
     """array<bigint> of how many of an array's values each bin holds, in the order of ``bin_labels``; null for a null array."""
+    return place_counts(bin_places(values, edges), edges)
 
-    def below(edge: float) -> Column:
-        return F.size(F.filter(values, lambda v: v < edge)).cast("long")
 
-    upto = [F.lit(0).cast("long"), *[below(e) for e in edges], F.size(F.filter(values, lambda v: v.isNotNull())).cast("long")]
-    return F.when(values.isNotNull(), F.array(*[high - low for low, high in zip(upto, upto[1:])]))
+def bin_places(values: Column, edges: list[float]) -> Column:
+    """For each of an array's values the number of its bin, in the order of ``bin_labels``; a null stays null."""
+
+    def place(value: Column) -> Column:
+        return F.coalesce(*[F.when(value < e, i) for i, e in enumerate(edges)], F.when(value.isNotNull(), len(edges)))
+
+    return F.transform(values, place)
+
+
+def place_counts(places: Column, edges: list[float]) -> Column:
+    """array<bigint> of how many of an array's bin numbers are each bin's; null for a null array."""
+    counts = [(F.size(places) - F.size(F.array_remove(places, i))).cast("long") for i in range(len(edges) + 1)]
+    return F.when(places.isNotNull(), F.array(*counts))

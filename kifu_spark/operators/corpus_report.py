@@ -25,12 +25,12 @@ TOTALS = {
     "moves": "n_moves", "passes": "n_passes", "annotated": "n_annotated", "weighted": "n_weighted", "reanalyzed": "n_reanalyzed",
     "weight_zero": "n_weight_zero", "weight_pos": "n_weight_pos", "moveless_nodes": "n_moveless_nodes",
 }
-ENTRY = "array<struct<section:string,counter:string,value:string,n:bigint>>"
 
 
-def _entry(section: str, counter: str, value: Column, n: Column | int = 1) -> Column:
+def _entry(section: str, counter: Column | str, value: Column, n: Column | int = 1) -> Column:
     counted = n if isinstance(n, Column) else F.lit(n)
-    return F.struct(F.lit(section).alias("section"), F.lit(counter).alias("counter"), value.cast("string").alias("value"), counted.cast("long").alias("n"))
+    counter = counter if isinstance(counter, Column) else F.lit(counter)
+    return F.struct(F.lit(section).alias("section"), counter.alias("counter"), value.cast("string").alias("value"), counted.cast("long").alias("n"))
 
 
 def _summed(rows: DataFrame, keys: list[str], entries: Column) -> DataFrame:
@@ -47,24 +47,32 @@ def manifest_report(manifest: DataFrame) -> DataFrame:
     flags, and ``replay_declared`` and ``replay_ok`` are totals. An empty manifest has no rows, and no entry is zero.
     """
     none = lambda name: F.coalesce(F.col(name), F.lit(0))
-    bins = lambda name, edges: [_entry("histogram", name, F.lit(label), F.coalesce(F.get(f"{name[:-1]}_bins", F.lit(i)), F.lit(0))) for i, label in enumerate(bin_labels(edges))]
+    values = {c: F.col(c) for c in HEADER_COUNTERS} | {
+        "n_moves": in_bins(none("n_moves"), MOVE_EDGES),
+        "n_passes": F.least(none("n_passes"), F.lit(MOST_PASSES)),
+        **{c: F.least(none(c), F.lit(MOST_STONES)) for c in ("n_ab", "n_aw")},
+    }
+    sums = {("total", "files", None): F.lit(1)} | {("total", name, None): none(c) for name, c in TOTALS.items()}
+    sums["total", "setup_stones", None] = none("n_ab") + none("n_aw")
+    for name, edges in (("visits", VISIT_EDGES), ("weights", WEIGHT_EDGES)):
+        sums |= {("histogram", name, label): F.get(f"{name[:-1]}_bins", F.lit(i)) for i, label in enumerate(bin_labels(edges))}
+    if "replay" in manifest.columns:
+        values["replay"] = F.col("replay")
+        sums |= {("total", c, None): none(c) for c in ("replay_declared", "replay_ok")}
+    # a record's values and flags become a row each; its numbers are added up beside the first of them
+    names, numbers = list(values), [f"sum{i}" for i in range(len(sums))]
+    listed = F.concat(F.array(*[v.cast("string") for v in values.values()]), F.coalesce("reasons", F.array().cast("array<string>")))
+    each = manifest.select(F.posexplode(listed).alias("place", "value"), *[v.cast("long").alias(c) for v, c in zip(sums.values(), numbers)])
+    place = F.least("place", F.lit(len(names)))
+    counted = each.groupBy(place.alias("place"), "value").agg(F.count("*").alias("n"), *[F.sum(F.when(F.col("place") == 0, F.col(c))).alias(c) for c in numbers])
+    counter = F.get(F.array(*map(F.lit, names)), F.col("place"))
+    once = F.when((counter == "replay") & F.col("value").isNull(), 0).otherwise(F.col("n"))
     parts = [
-        *[_entry("histogram", c, F.col(c)) for c in HEADER_COUNTERS],
-        _entry("histogram", "n_moves", in_bins(none("n_moves"), MOVE_EDGES)),
-        _entry("histogram", "n_passes", F.least(none("n_passes"), F.lit(MOST_PASSES))),
-        *[_entry("histogram", c, F.least(none(c), F.lit(MOST_STONES))) for c in ("n_ab", "n_aw")],
-        *bins("visits", VISIT_EDGES),
-        *bins("weights", WEIGHT_EDGES),
-        _entry("total", "files", F.lit(None)),
-        *[_entry("total", name, F.lit(None), none(c)) for name, c in TOTALS.items()],
-        _entry("total", "setup_stones", F.lit(None), none("n_ab") + none("n_aw")),
+        F.when(counter.isNotNull(), _entry("histogram", counter, F.col("value"), once)).otherwise(_entry("flag", "reason", F.col("value"), F.col("n"))),
+        F.when((counter == "replay") & (F.col("value") != "ok"), _entry("flag", "reason", F.concat(F.lit("replay:"), "value"), F.col("n"))),
+        *[_entry(section, name, F.lit(label), F.col(c)) for (section, name, label), c in zip(sums, numbers)],
     ]
-    flags = F.transform("reasons", lambda r: _entry("flag", "reason", r))
-    if "replay" in manifest.columns:
-        parts += [_entry("histogram", "replay", F.col("replay"), F.when(F.col("replay").isNotNull(), 1).otherwise(0))]
-        parts += [_entry("flag", "reason", F.concat(F.lit("replay:"), "replay"), F.when(F.col("replay") != "ok", 1).otherwise(0))]
-        parts += [_entry("total", c, F.lit(None), none(c)) for c in ("replay_declared", "replay_ok")]
-    return _summed(manifest, [], F.concat(F.array(*parts), F.coalesce(flags, F.array().cast(ENTRY))))
+    return _summed(counted, [], F.array(*parts))
 
 
 def with_shares(report: DataFrame, most: int = 12) -> DataFrame:

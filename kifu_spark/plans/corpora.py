@@ -23,7 +23,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     point = F.when(F.col("l_returnflag") == "R", "tt").otherwise("dd")
     node = F.concat(F.lit(";"), color, F.lit("["), point, F.lit("]"), one(note))
     nodes = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", node.alias("node")))), lambda s: s["node"]), "").alias("nodes")
+        F.array_join(F.sort_array(F.collect_list(F.struct("l_linenumber", node.alias("node"))))["node"], "").alias("nodes")
     )
     orders = table(spark, sf_dir, "orders")
     priority, status, key, customer = F.col("o_orderpriority"), F.col("o_orderstatus"), F.col("o_orderkey"), F.col("o_custkey")
@@ -47,7 +47,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(priority == "1-URGENT", "AB[aa][bb]").when(priority == "2-HIGH", "AW[cc]").otherwise(""), F.lit("C[startTurnIdx="), key % 3, F.lit(",gtype="),
         F.when(status == "O", "normal").when(status == "F", "handicap").otherwise("asym"), F.lit("]"), one("nodes"), F.when(status == "P", ";N[end]").otherwise(""), F.lit(")"),
     )
-    return orders.join(nodes, "o_orderkey", "left").select(key.cast("string").alias("path"), text.alias("text"))
+    return orders.join(nodes.hint("merge"), "o_orderkey", "left").select(key.cast("string").alias("path"), text.alias("text"))
 
 
 REPORT_SQL = """WITH l AS (SELECT l_orderkey AS o_orderkey, l_returnflag = 'R' AS pass, l_linestatus = 'O' AS noted, l_linestatus = 'O' AND l_returnflag <> 'A' AS weighted,

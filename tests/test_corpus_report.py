@@ -180,3 +180,20 @@ def test_straight_records_are_read_without_windows(spark):
     straight = {path: moves for path, moves in got.items() if moves is not None}
     assert {"0", "1", "2", "3", "14"} <= set(straight) and not {"9", "10", "11", "13"} & set(straight)
     assert all(moves == want.get(path, []) for path, moves in straight.items())
+
+
+def test_report_rows_of_a_record_do_not_grow_with_its_numbers(spark):
+    text = f"(;{HEAD};B[tt]C[0.1 0.9 0.0 1.0 v=50 weight=0.0];W[aa])"
+    made = report.manifest_report(scanned(spark, text, text).withColumn("replay", F.when(F.col("path") == "0", "illegal")).withColumns({"replay_declared": F.lit(2), "replay_ok": F.lit(1)}))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" in plan  # a row for each value and flag; each bin and total had one too
+    found = rows_of(made)
+    assert found["histogram", "visits", "<100"] == found["histogram", "weights", "<0.001"] == found["total", "passes", None] == 2
+    assert found["flag", "reason", "replay:illegal"] == found["histogram", "replay", "illegal"] == 1 and ("histogram", "replay", None) not in found
+    assert found["total", "replay_declared", None] == 4 and found["total", "files", None] == 2
+
+
+def test_records_of_a_corpus_pass_no_broadcast(spark, sf_dir):
+    from kifu_spark.plans.corpora import _records
+
+    assert "BroadcastHashJoin" not in _records(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
